@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def _profile(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
     # confidences have two digits: whole hundredths add up alike in any order
     rows = chunked_keys.profile_keys(table(spark, sf, name), as_key(key), F.col("created_at"), F.round(F.col("confidence") * 100).cast("bigint"))
-    return rows.select(F.col("key").alias("key_value"), F.col("n").alias("n_edges"), F.timestamp_micros("first_at").alias("first_at"), F.timestamp_micros("last_at").alias("last_at"), F.col("longest_gap").alias("longest_gap_us"), F.col("bursts").cast("bigint").alias("bursts"), "n_values", F.col("total").alias("confidence_hundredths"))
+    return rows.select(F.col("key").alias("key_value"), F.col("n").alias("n_edges"), F.col("first_at").alias("first_at_us"), F.col("last_at").alias("last_at_us"), F.col("longest_gap").alias("longest_gap_us"), F.col("bursts").cast("bigint").alias("bursts"), "n_values", F.col("total").alias("confidence_hundredths"))
 
 
 def p1_source_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +139,7 @@ def _profile_sql(name: str, key: str) -> str:
     return f"""
 WITH e AS (SELECT {_key(key)} AS key_value, created_at, CAST(round(confidence * 100) AS BIGINT) AS c FROM {name}),
 g AS (SELECT *, epoch_us(created_at) - lag(epoch_us(created_at)) OVER (PARTITION BY key_value ORDER BY created_at NULLS FIRST) AS gap FROM e WHERE key_value IS NOT NULL)
-SELECT key_value, count(*) AS n_edges, min(created_at) AS first_at, max(created_at) AS last_at,
+SELECT key_value, count(*) AS n_edges, epoch_us(min(created_at)) AS first_at_us, epoch_us(max(created_at)) AS last_at_us,
        CASE WHEN count(created_at) > 0 THEN coalesce(max(gap), 0) END AS longest_gap_us,
        CAST(CASE WHEN count(created_at) > 0 THEN 1 + count(*) FILTER (WHERE gap > 86400000000) ELSE 0 END AS BIGINT) AS bursts,
        count(c) AS n_values, CAST(sum(c) AS BIGINT) AS confidence_hundredths
