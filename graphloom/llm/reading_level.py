@@ -40,21 +40,38 @@ FUNCTION_WORDS = {
     "es": "el la los las un una de del y que en no se con por para su al lo le es era fue hay como más pero ayer sobre después quiso otra estaban eso junto gustan vez".split(),
 }
 
-_NOT_PROSE = re.compile(r"-+>|^\s*\d{4}-\d\d-\d\d[T ]\d|\S=\S.*\S=\S|^\s*#{1,6}\s|^\s*\S+([,;|\t]\S*){2,}\s*$|^\s*\|.*\|\s*$|^\s*(?:see\s+)?\w+://\S+\s*$|^\s*[{}\[\]();]+\s*$")
-_LEAD = re.compile(r"^(?:[>|\s]|[-*•+–](?=\s)|\d{1,3}[.)](?=\s)|\[\d{1,2}:\d{2}(?::\d{2})?\])+")
-_SPEAKER = re.compile(r"^[^\W\d_]{2,30}:\s+")
-_END = re.compile(r"(?<=[.!?。！？])\s+")
+_PAIRS = re.compile(r"\S=\S.*\S=\S")
+_DATED = re.compile(r"\d{4}-\d\d-\d\d[t ]\d")
+_CELLS = re.compile(r"[,;|\t]")
+_LEAD = re.compile(r"(?:[>|\s]|[-*•+–](?=\s)|\d{1,3}[.)](?=\s)|\[\d{1,2}:\d{2}(?::\d{2})?\])+")
+_SPEAKER = re.compile(r"[^\W\d_]{2,30}:\s+")
+_END = re.compile(r"[.!?。！？]+\s+")
+
+
+def _is_prose(line: str) -> bool:
+    """Whether a folded line without outer spaces is running text: no heading, log entry, table row, triple or address."""
+    if line[0] == "#" or line[0] == "|" and line[-1] == "|" or "->" in line:
+        return False
+    if "=" in line and _PAIRS.search(line) or line[0].isdigit() and _DATED.match(line):
+        return False
+    if " " not in line:
+        return len(_CELLS.findall(line)) < 2 and "://" not in line
+    return not ("://" in line and line.count(" ") == 1)
 
 
 def prose_sentences(text: str) -> list[str]:
-    """The sentences of running prose: no headings, logs, tables, triples or addresses; speakers and list marks are cut off."""
+    """The sentences of running prose, folded; speakers and list marks are cut off."""
     out: list[str] = []
-    for line in W.plain(text).split("\n"):
-        if not line or line.isspace() or _NOT_PROSE.search(line):
+    for line in W.fold(W.plain(text)).split("\n"):
+        line = line.strip()
+        if not line or not _is_prose(line):
             continue
-        line = _SPEAKER.sub("", _LEAD.sub("", line))
+        if not line[0].isalpha() and (lead := _LEAD.match(line)):
+            line = line[lead.end() :]
+        if ":" in line[:32] and (speaker := _SPEAKER.match(line)):
+            line = line[speaker.end() :]
         if line:
-            out += _END.split(W.fold(line))
+            out += _END.split(line)
     return out
 
 

@@ -23,9 +23,9 @@ _WORD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 @cache
-def _invisible() -> re.Pattern:
+def _invisible() -> frozenset[str]:
     """Format characters such as soft hyphens, joiners and zero-width spaces."""
-    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]+")
+    return frozenset(chr(c) for c in range(0xE0080) if unicodedata.category(chr(c)) == "Cf")
 
 
 def plain(text: str) -> str:
@@ -38,13 +38,15 @@ def plain(text: str) -> str:
     if "<" in text:
         text = _INLINE.sub("", _BREAK.sub("\n", text))
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", _invisible().sub("", text))
+        for character in _invisible().intersection(text):
+            text = text.replace(character, "")
+        text = unicodedata.normalize("NFKC", text)
     return text
 
 
 def fold(text: str) -> str:
     """Without regard to letter case."""
-    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text.casefold())
+    return text.lower() if text.isascii() else text.casefold()
 
 
 @cache
