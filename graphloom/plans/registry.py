@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import training
+from graphloom.plans import graph, training
 
-MODULES = [training]
+MODULES = [graph, training]
 
 
 def queries() -> dict:
