@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import graph, training
+from graphloom.plans import graph, retrieval, training
 
-MODULES = [graph, training]
+MODULES = [graph, retrieval, training]
 
 
 def queries() -> dict:
