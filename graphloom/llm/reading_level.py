@@ -180,11 +180,20 @@ def _training_sentences(documents: DataFrame, chosen: DataFrame, limit: int) ->
     return rows.mapInArrow(run, "level int, word_index array<int>, word_value array<double>, gram_index array<int>, gram_value array<double>")
 
 
+def _given(rows: DataFrame) -> list[int]:
+    """The levels that occur, at most as many as there are."""
+    return sorted(int(row[0]) for row in rows.select("level").distinct().collect())
+
+
 def _fit(rows: DataFrame, index: str, value: str) -> tuple[np.ndarray, np.ndarray]:
     """Weights by level and bucket, and biases, of a multinomial regression with an L2 penalty."""
+    weights, bias = np.zeros((len(LEVELS), BUCKETS)), np.full(len(LEVELS), -30.0)
+    given = _given(rows)
+    if len(given) == 1:
+        bias[given[0]] = 0.0
+        return weights, bias
     vector = F.udf(lambda i, v: SparseVector(BUCKETS, i, v), VectorUDT())  # on the bounded sample only
     model = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=30, standardization=False, labelCol="level").fit(rows.select(F.col("level").cast("double"), vector(index, value).alias("features")))
-    weights, bias = np.zeros((len(LEVELS), BUCKETS)), np.full(len(LEVELS), -30.0)
     found = model.coefficientMatrix.toArray()
     weights[: len(found)], bias[: len(found)] = found, model.interceptVector.toArray()
     return weights, bias
@@ -247,7 +256,7 @@ def reading_levels(documents: DataFrame, ratings: DataFrame, min_words: int = MI
     seen = scored.join(F.broadcast(chosen.where("fold = 1")), "doc_id").select(F.col("level").cast("double").alias("level"), *LEVELS)
     seen = cut(seen, "calibration")
     best = F.array(*LEVELS)
-    if not seen.isEmpty():
+    if len(_given(seen)) > 1:
         fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=50, labelCol="level").fit(seen.select("level", vector(*LEVELS).alias("features")))
         matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
         best = F.array(*[sum((F.col(name) * float(w) for name, w in zip(LEVELS, row)), F.lit(float(b))) for row, b in zip(matrix, bias)])
