@@ -146,7 +146,7 @@ SELECT key_value, count(*) AS n_edges, epoch_us(min(created_at)) AS first_at_us,
 FROM g GROUP BY key_value"""
 
 
-_CURRENT_SQL = f"""
+CURRENT_SQL = f"""
 WITH c AS (SELECT {_key("memory_id")} AS memory_id, graph_id, version, update_id, sequence, {_key("operation")} AS operation FROM materialized),
 d AS (SELECT * FROM c WHERE memory_id IS NOT NULL AND version IS NOT NULL QUALIFY row_number() OVER (PARTITION BY update_id ORDER BY sequence) = 1),
 w AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY version DESC, sequence DESC) = 1),
@@ -188,8 +188,8 @@ t AS (SELECT table_name, count(*) AS whole FROM a GROUP BY 1)
 SELECT a.table_name, a.key_value FROM a JOIN t USING (table_name) WHERE key_value IS NOT NULL GROUP BY 1, 2, whole HAVING count(*) >= 0.04 * whole""",
     "p1_source_profile": _profile_sql("kg_edges_by_src", "src_id"),
     "p1_relation_profile": _profile_sql("kg_edges_by_relation_bucket", "relation"),
-    "p2_found": _CURRENT_SQL + " SELECT memory_id, version, update_id FROM live",
-    "p2_current_by_graph": _CURRENT_SQL + " SELECT graph_id, operation, count(*) AS n_memories, CAST(max(version) AS BIGINT) AS max_version FROM live GROUP BY ALL",
+    "p2_found": CURRENT_SQL + " SELECT memory_id, version, update_id FROM live",
+    "p2_current_by_graph": CURRENT_SQL + " SELECT graph_id, operation, count(*) AS n_memories, CAST(max(version) AS BIGINT) AS max_version FROM live GROUP BY ALL",
     "p3_found": f"""
 WITH b AS (SELECT experiment, {_key("mode")} AS mode, hop, latency_ms FROM b2a_raw WHERE error = 0 AND latency_ms >= 0 AND NOT isnan(latency_ms)),
 q AS (SELECT experiment, mode, hop, unnest([50, 90, 99]) AS pct, unnest(quantile_disc(latency_ms, [0.5, 0.9, 0.99])) AS p FROM b GROUP BY experiment, mode, hop)
