@@ -43,13 +43,13 @@ def _list(values: list[str]) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case ASCII words of at least two characters without stopwords; null gives none."""
     split = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " ")
-    return F.filter(split, lambda t: (F.length(t) >= 2) & ~F.array_contains(_list(STOPWORDS), t))
+    return F.filter(split, lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
 
 
 def terms(text: Column) -> Column:
     """Words of at least two letters or digits without stopwords, then pairs of neighbours among them."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
-    words = F.filter(words, lambda t: ~F.array_contains(_list(STOPWORDS), t))
+    words = F.filter(words, lambda t: ~t.isin(*STOPWORDS))
     n = F.size(words)
     pairs = F.when(n > 1, F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast(_NO_STRINGS))
     return F.concat(words, pairs)

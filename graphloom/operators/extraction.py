@@ -71,7 +71,7 @@ def pattern_triples(df: DataFrame, text: str) -> DataFrame:
     rows = df.where(F.col(text).isNotNull()).withColumn("_hit", hit)
     # lower-casing may change the length of a text, so the rest is cut from the lower-case one
     rest = F.when(F.col("_hit").isNull(), low).otherwise(F.substring(low, F.instr(low, F.col("_hit.p")) + F.length("_hit.p"), F.length(low)))
-    words = F.filter(F.regexp_extract_all(rest, F.lit("([a-z]+)"), 1), lambda w: ~F.array_contains(_list(OBJECT_STOPWORDS), w))
+    words = F.filter(F.regexp_extract_all(rest, F.lit("([a-z]+)"), 1), lambda w: ~w.isin(*OBJECT_STOPWORDS))
     rows = rows.withColumn("_w", words).withColumn("relation", F.coalesce(F.col("_hit.r"), F.lit("has_memory")))
     made = F.array_join(F.slice("_w", 1, F.when(F.col("_hit").isNull(), 5).otherwise(4)), "_")
     rows = rows.withColumn("object", F.when(F.size("_w") > 0, made).when(F.col("_hit").isNull(), F.lit("memory")).otherwise(F.col("relation")))

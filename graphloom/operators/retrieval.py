@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.session import cut
 
 Terms = Callable[[Column], Column]
 
@@ -21,13 +22,14 @@ def postings(corpus: DataFrame, terms: Terms = X.terms) -> DataFrame:
     have no postings.
     """
     rows = corpus.select("scope", "doc_id", terms(F.col("text")).alias("_t"))
-    exploded = rows.select("scope", "doc_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    # the outer form spares a filter on the size of the terms, which would make Spark tokenise twice
+    exploded = rows.select("scope", "doc_id", F.size("_t").alias("length"), F.explode_outer("_t").alias("term")).where("term is not null")
     return exploded.groupBy("scope", "doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame, terms: Terms = X.terms) -> DataFrame:
     """``(scope, query_id, term, qtf)`` from ``queries(scope, query_id, text)``."""
-    return queries.select("scope", "query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("scope", "query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    return queries.select("scope", "query_id", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null").groupBy("scope", "query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def _statistics(corpus: DataFrame, terms: Terms) -> DataFrame:
@@ -40,7 +42,8 @@ def _matches(corpus: DataFrame, queries: DataFrame, terms: Terms) -> tuple[DataF
     asked = query_terms(queries, terms)
     wanted = asked.select("scope", "term").distinct()
     # the corpus shrinks to the postings asked for before anything else is joined
-    found = postings(corpus, terms).join(wanted, ["scope", "term"], "left_semi")
+    # and is written, as it is counted and then scored: tokenising twice costs more
+    found = cut(postings(corpus, terms).join(wanted, ["scope", "term"], "left_semi"), "postings")
     frequency = found.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
     return found, frequency, asked
 
@@ -70,7 +73,7 @@ def tfidf(corpus: DataFrame, queries: DataFrame, terms: Terms = X.terms, subline
     idf is ``ln((1 + n) / (1 + df)) + 1``; terms that no document has are
     outside the vocabulary.
     """
-    every = postings(corpus, terms)
+    every = cut(postings(corpus, terms), "postings")
     frequency = every.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
     sizes = corpus.groupBy("scope").agg(F.count(F.lit(1)).alias("n_docs"))
     idf = frequency.join(sizes, "scope").select("scope", "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -149,9 +152,9 @@ def graph_features(edges: DataFrame) -> DataFrame:
 
     In long form, so that a memory with very many edges is no large value.
     """
-    entity = edges.select("scope", "doc_id", F.explode(F.concat(X.tokens(F.col("src_id")), X.tokens(F.col("dst_id")))).alias("token"), F.lit(1).alias("e"), F.lit(0).alias("r"))
-    relation = edges.select("scope", "doc_id", F.explode(X.tokens(F.col("relation"))).alias("token"), F.lit(0).alias("e"), F.lit(1).alias("r"))
-    return entity.unionByName(relation).groupBy("scope", "doc_id", "token").agg(F.max("e").alias("is_entity"), F.max("r").alias("is_relation"))
+    entity = edges.select("scope", "doc_id", F.explode_outer(F.concat(X.tokens(F.col("src_id")), X.tokens(F.col("dst_id")))).alias("token"), F.lit(1).alias("e"), F.lit(0).alias("r"))
+    relation = edges.select("scope", "doc_id", F.explode_outer(X.tokens(F.col("relation"))).alias("token"), F.lit(0).alias("e"), F.lit(1).alias("r"))
+    return entity.unionByName(relation).where("token is not null").groupBy("scope", "doc_id", "token").agg(F.max("e").alias("is_entity"), F.max("r").alias("is_relation"))
 
 
 # fixed values: weights of the query-graph score
