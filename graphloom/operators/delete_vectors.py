@@ -46,6 +46,19 @@ class DeleteVectorTable:
     def __post_init__(self) -> None:
         self.folder = self.folder or new_folder(self.spark, "delete-vectors")
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, payload: list[str]) -> DeleteVectorTable:
+        """The table that was kept in ``folder``, as of its last whole batch; an unfinished batch is written anew."""
+        state = cls(spark, payload, folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        exists = lambda n: files.exists(path.suffix(f"/vectors-{n}/_SUCCESS"))
+        while exists(state.batches + 1):
+            state.batches += 1
+        if state.batches:
+            state.schema = ", ".join(f"{name} {kind}" for name, kind in spark.read.parquet(f"{folder}/images-1").dtypes)
+        return state
+
     def _table(self, name: str, number: int, schema: str) -> DataFrame:
         if number == 0:
             return self.spark.createDataFrame([], schema)
@@ -75,21 +88,21 @@ class DeleteVectorTable:
         old = index.select("key", F.struct("version", "sequence", "file", "place").alias("old"))
         newer = F.col("old").isNull() | (F.struct("new.version", "new.sequence") > F.struct("old.version", "old.sequence"))
         resolved = batch.join(old, "key", "full").withColumn("wins", F.col("new").isNotNull() & newer)
-        resolved.write.parquet(f"{self.folder}/resolved-{number}")
+        resolved.write.mode("overwrite").parquet(f"{self.folder}/resolved-{number}")
         resolved = self.spark.read.parquet(f"{self.folder}/resolved-{number}")
 
         winners = resolved.where("wins").select("key", "new.*")
-        winners.where("not coalesce(deletes, false)").select("key", "version", "sequence", *self.payload).write.parquet(f"{self.folder}/images-{number}")
+        winners.where("not coalesce(deletes, false)").select("key", "version", "sequence", *self.payload).write.mode("overwrite").parquet(f"{self.folder}/images-{number}")
         appended = self.spark.read.schema(self.schema).parquet(f"{self.folder}/images-{number}")
         located = appended.select("key", "version", "sequence", F.concat(F.lit(f"images-{number}/"), F.col("_metadata.file_name")).alias("file"), F.col("_metadata.row_index").alias("place"))
         tombstones = winners.where("coalesce(deletes, false)").select("key", "version", "sequence", F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("place"))
         kept = resolved.where("not wins").select("key", "old.*")
-        located.unionByName(tombstones).unionByName(kept).write.parquet(f"{self.folder}/index-{number}")
+        located.unionByName(tombstones).unionByName(kept).write.mode("overwrite").parquet(f"{self.folder}/index-{number}")
 
         superseded = resolved.where("wins and old.file is not null").select("old.file", (F.col("old.place") + 1).alias("place"))
         fresh = superseded.groupBy("file", F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
         both = self._table("vectors", self.batches, _VECTORS).unionByName(fresh)
-        both.groupBy("file", "block").agg(F.bitmap_or_agg("bits").alias("bits")).write.parquet(f"{self.folder}/vectors-{number}")
+        both.groupBy("file", "block").agg(F.bitmap_or_agg("bits").alias("bits")).write.mode("overwrite").parquet(f"{self.folder}/vectors-{number}")
         self.batches = number
 
     def vectors(self) -> DataFrame:
