@@ -74,10 +74,6 @@ def answer_scores(answers: DataFrame) -> DataFrame:
     return rows.join(same, "id", "left").select("id", (F.col("ps") == F.col("gs")).cast("int").alias("em_strict"), (F.col("pr") == F.col("gr")).cast("int").alias("em_relaxed"), F.round(f1, 6).alias("f1"), F.col("abstains").cast("int").alias("abstains"), (F.col("abstains") & (F.col("gr") != "")).cast("int").alias("wrong_abstention"))
 
 
-def _draw(spark_rows: DataFrame, n: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64("rep", "draw", F.lit(seed)), n)
-
-
 def paired_bootstrap(differences: DataFrame, by: str, reps: int = 1000, seed: int = 42) -> DataFrame:
     """Mean difference and its 95 % interval from ``differences(by, diff)``, by resampling whole groups ``by``.
 
@@ -91,7 +87,7 @@ def paired_bootstrap(differences: DataFrame, by: str, reps: int = 1000, seed: in
     size = groups.agg(F.count(F.lit(1)).alias("_g"))
     reps_ = differences.sparkSession.range(reps).select(F.col("id").alias("rep"))
     draws = reps_.join(F.broadcast(size)).where("_g > 0").select("rep", "_g", F.explode(F.sequence(F.lit(0), F.col("_g").cast("int") - 1)).alias("draw"))
-    draws = draws.select("rep", _draw(draws, F.col("_g"), seed).cast("int").alias("_i"))
+    draws = draws.select("rep", F.pmod(F.xxhash64("rep", "draw", F.lit(seed)), F.col("_g")).cast("int").alias("_i"))
     means = draws.join(numbered, "_i").groupBy("rep").agg((F.sum("_s") / F.sum("_n")).alias("m"))
     ordered = means.withColumn("_r", F.row_number().over(Window.orderBy("m")) - 1)
     low, high = int(reps * 0.025), int(reps * 0.975)

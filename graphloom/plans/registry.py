@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import feeds, graph, retrieval, training
+from graphloom.plans import feeds, graph, hybrid, retrieval, training
 
-MODULES = [feeds, graph, retrieval, training]
+MODULES = [feeds, graph, hybrid, retrieval, training]
 
 
 def queries() -> dict:
