@@ -99,7 +99,7 @@ def raw_part(text: Column) -> Column:
 
 def sentences(text: Column, least: int = 20) -> Column:
     """Sentences, split after a full stop, exclamation or question mark and space, of at least ``least`` characters."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 def clean_id(text: Column) -> Column:
@@ -128,4 +128,4 @@ def evidence_ids(text: Column) -> Column:
 def split_ids(text: Column) -> Column:
     """Ids of a list written as JSON or parted by semicolons, commas or bars; blanks are dropped, the first of equals stays."""
     listed = F.when(F.startswith(F.trim(text), F.lit("[")), F.from_json(text, "array<string>")).otherwise(F.split(text, "[;,|]"))
-    return F.array_distinct(F.filter(F.transform(F.coalesce(listed, F.array().cast(_NO_STRINGS)), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(listed, F.array().cast(_NO_STRINGS)), lambda x: F.trim(x)), lambda x: x != ""))
