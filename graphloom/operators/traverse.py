@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import cut
+
 ANY = "*"
 
 
@@ -24,9 +26,16 @@ def bounded_adjacency(edges: DataFrame, fanout: int, hops: int) -> DataFrame:
     return rows.withColumn("_parallel", F.row_number().over(parallel)).where(F.col("_parallel") <= fanout).drop("_place", "_parallel")
 
 
-def _hop(frontier: DataFrame, edges: DataFrame, relation: str, fanout: int, cycle_first: bool, cycles: str) -> DataFrame:
-    steps = edges if relation == ANY else edges.where(F.col("relation") == relation)
-    steps = steps.select("graph_id", F.col("src_id").alias("node"), "relation", "dst_id", "source", "edge_id")
+def _steps(frontier: DataFrame, edges: DataFrame, relation: str, fanout: int, hops: int) -> DataFrame:
+    """The bounded adjacency of a frontier's nodes; the semi join reaches down to the scan, before any edge is shuffled or sorted."""
+    if relation != ANY:
+        edges = edges.where(F.col("relation") == relation)
+    nodes = frontier.select("graph_id", F.col("node").alias("src_id")).distinct()
+    near = bounded_adjacency(edges.join(nodes, ["graph_id", "src_id"], "left_semi"), fanout, hops)
+    return near.select("graph_id", F.col("src_id").alias("node"), "relation", "dst_id", "source", "edge_id")
+
+
+def _hop(frontier: DataFrame, steps: DataFrame, fanout: int, cycle_first: bool, cycles: str) -> DataFrame:
     joined = frontier.join(steps, ["graph_id", "node"])
     fresh = ~F.array_contains("node_path", F.col("dst_id")) if cycles == "path" else F.lit(True)
     # the order of edges, and within one state the choice of the first ones
@@ -61,12 +70,13 @@ def traverse_levels(seeds: DataFrame, edges: DataFrame, relations: list[str], fa
         raise ValueError(f"unknown cycle policy: {cycles}")
     if fanout < 1 or not relations:
         raise ValueError("a traversal has at least one hop and a fanout of at least 1")
-    near = bounded_adjacency(edges, fanout, len(relations))
     empty = F.array().cast("array<string>")
     frontier = seeds.select("query_id", "graph_id", F.col("seed_id").alias("node"), F.array("seed_id").alias("node_path"), empty.alias("edge_path"), empty.alias("relation_path"))
     levels = []
-    for relation in relations:
-        frontier = _hop(frontier, near, relation, fanout, cycle_first, cycles)
+    for hop, relation in enumerate(relations, 1):
+        steps = _steps(frontier, edges, relation, fanout, len(relations))
+        # written, as each hop reads the frontier before it twice
+        frontier = cut(_hop(frontier, steps, fanout, cycle_first, cycles), f"frontier-{hop}")
         levels.append(frontier)
     return levels
 
@@ -83,16 +93,15 @@ def frontier_sets(seeds: DataFrame, edges: DataFrame, relations: list[str], fano
     Each node of a frontier takes its first ``fanout`` edges; of a level's
     distinct nodes the first ``max_frontier`` in order go on.
     """
-    near = bounded_adjacency(edges, fanout, 0)
     frontier = seeds.select("query_id", "graph_id", F.col("seed_id").alias("node"))
     out = frontier.withColumn("hop", F.lit(0))
     for hop, relation in enumerate(relations, 1):
-        steps = (near if relation == ANY else near.where(F.col("relation") == relation)).select("graph_id", F.col("src_id").alias("node"), "relation", "dst_id", "source", "edge_id")
+        steps = _steps(frontier, edges, relation, fanout, 0)
         order = Window.partitionBy("query_id", "graph_id", "node").orderBy("relation", "dst_id", "source", "edge_id")
         reached = frontier.join(steps, ["graph_id", "node"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= fanout)
         nodes = reached.select("query_id", "graph_id", F.col("dst_id").alias("node")).distinct()
         first = Window.partitionBy("query_id", "graph_id").orderBy("node")
-        frontier = nodes.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_frontier).drop("_n")
+        frontier = cut(nodes.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_frontier).drop("_n"), f"frontier-{hop}")
         out = out.unionByName(frontier.withColumn("hop", F.lit(hop)))
     return out
 
