@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.operators.chunked_keys import number_rows
 
 ABSENT_RANK = 99
 
@@ -83,11 +84,12 @@ def paired_bootstrap(differences: DataFrame, by: str, reps: int = 1000, seed: in
     cluster bootstrap. Resampling joins ``reps * groups`` draws to the groups.
     """
     groups = differences.groupBy(by).agg(F.sum("diff").alias("_s"), F.count("diff").alias("_n"))
-    numbered = groups.withColumn("_i", F.row_number().over(Window.orderBy(by)) - 1)
+    name = F.when(F.col(by).isNull(), "n").otherwise(F.concat(F.lit("k"), F.col(by).cast("string")))
+    numbered = number_rows(groups, name, payload=["_s", "_n"]).select(F.col("row").alias("_i"), "_s", "_n")
     size = groups.agg(F.count(F.lit(1)).alias("_g"))
     reps_ = differences.sparkSession.range(reps).select(F.col("id").alias("rep"))
     draws = reps_.join(F.broadcast(size)).where("_g > 0").select("rep", "_g", F.explode(F.sequence(F.lit(0), F.col("_g").cast("int") - 1)).alias("draw"))
-    draws = draws.select("rep", F.pmod(F.xxhash64("rep", "draw", F.lit(seed)), F.col("_g")).cast("int").alias("_i"))
+    draws = draws.select("rep", F.pmod(F.xxhash64("rep", "draw", F.lit(seed)), F.col("_g")).alias("_i"))
     means = draws.join(numbered, "_i").groupBy("rep").agg((F.sum("_s") / F.sum("_n")).alias("m"))
     ordered = means.withColumn("_r", F.row_number().over(Window.orderBy("m")) - 1)
     low, high = int(reps * 0.025), int(reps * 0.975)

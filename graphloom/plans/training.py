@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _profile(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
     # confidences have two digits: whole hundredths add up alike in any order
-    rows = chunked_keys.profile_keys(table(spark, sf, name), as_key(key), F.col("created_at"), F.round(F.col("confidence") * 100).cast("bigint"))
+    rows = chunked_keys.profile_keys(table(spark, sf, name), as_key(key), F.col("created_at"), F.round(F.col("confidence") * 100).try_cast("bigint"))
     return rows.select(F.col("key").alias("key_value"), F.col("n").alias("n_edges"), F.col("first_at").alias("first_at_us"), F.col("last_at").alias("last_at_us"), F.col("longest_gap").alias("longest_gap_us"), F.col("bursts").cast("bigint").alias("bursts"), "n_values", F.col("total").alias("confidence_hundredths"))
 
 
@@ -75,7 +75,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     group = ["experiment", "mode", "hop"]
     daily = relative_quantiles.merge_sketches(_latency_sketches(spark, sf), [*group, "run_day"])
     rows = relative_quantiles.percentiles(relative_quantiles.merge_sketches(daily, group), group, [50, 90, 99])
-    return rows.where("value > 0").select(*group, "pct", F.floor(F.log2("value")).cast("int").alias("band"))
+    return rows.where("value > 0 and value < double('infinity')").select(*group, "pct", F.floor(F.log2("value")).cast("int").alias("band"))
 
 
 def p3_daily_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +105,7 @@ def _orphans(spark: SparkSession, sf: str) -> DataFrame:
     parent = F.struct(F.col("graph_id"), as_key("memory_id").alias("memory_id"))
     parent = F.when(as_key("memory_id").isNotNull(), parent)
     edges = table(spark, sf, "kg_edges_by_src").select(F.col("edge_id").alias("ref_key"), parent.alias("parent_key"), F.col("created_at").alias("at"))
-    views = table(spark, sf, "raw_erk_view").select(as_key("memory_id").alias("ref_key"), parent.alias("parent_key"), F.timestamp_micros(F.round(F.col("updated_at") * 1_000_000).cast("bigint")).alias("at"))
+    views = table(spark, sf, "raw_erk_view").select(as_key("memory_id").alias("ref_key"), parent.alias("parent_key"), F.timestamp_micros(F.round(F.col("updated_at") * 1_000_000).try_cast("bigint")).alias("at"))
     memories = table(spark, sf, "memory_by_id").select(parent.alias("parent_key"), "created_at", "deleted_at")
     copies = table(spark, sf, "kg_edges_by_relation_bucket").select(F.col("edge_id").alias("ref_key"), F.col("edge_id").alias("parent_ref_key"), F.col("created_at").alias("at"))
     return orphans.find_orphans(
