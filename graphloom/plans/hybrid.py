@@ -184,6 +184,31 @@ SELECT * FROM {P._top("hybrid", 10, 8)}""",
 ranked AS {P._top("bscore", 200)},
 best AS (SELECT q.query_id, r.rank, unnest({_DEPTHS}) AS depth FROM q LEFT JOIN ranked r ON r.query_id = q.query_id AND r.doc_id = q.query_id)
 SELECT CAST(depth AS INTEGER) AS depth, count(*) AS n, round(avg(coalesce(CAST(rank <= depth AS INTEGER), 0)), 6) AS hit FROM best GROUP BY depth""",
+    "eval_outcomes": f"""{P._BASE},
+{P._BM},
+{P._TF},
+{P._KG},
+{P._MIXED},
+{P._PT},
+{P._per_sql("pm", P._top("mixed", 10))}
+SELECT a.category, CASE WHEN a.hit10 + b.hit10 = 2 THEN 'both_hit' WHEN b.hit10 = 1 THEN 'rescue' WHEN a.hit10 = 1 THEN 'hurt' ELSE 'both_miss' END AS outcome, count(*) AS n FROM pt a JOIN pm b ON a.query_id = b.query_id GROUP BY ALL""",
+    "eval_rerank_grid": f"""{P._BASE},
+{P._BM},
+{P._KG},
+base AS {P._top("bscore", 50)},
+cells AS (SELECT w, d FROM (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS w), (SELECT unnest([10, 20, 50]) AS d)),
+lists AS (SELECT b.*, d FROM base b, (SELECT unnest([10, 20, 50]) AS d) WHERE rank <= d),
+norm AS (SELECT *, CASE WHEN max(score) OVER v - min(score) OVER v < 1e-9 THEN 1 ELSE (score - min(score) OVER v) / (max(score) OVER v - min(score) OVER v) END AS s FROM lists WINDOW v AS (PARTITION BY query_id, d)),
+mixed AS (SELECT c.w, n.d, n.query_id, n.doc_id, round(n.s + c.w * coalesce(k.score, 0), 6) AS score FROM norm n JOIN cells c ON c.d = n.d LEFT JOIN kg k ON k.query_id = n.query_id AND k.doc_id = n.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY w, d, query_id ORDER BY score DESC, doc_id) AS rank FROM mixed QUALIFY rank <= 10),
+per AS (SELECT c.w, c.d, r.rank FROM q CROSS JOIN cells c LEFT JOIN ranked r ON r.w = c.w AND r.d = c.d AND r.query_id = q.query_id AND r.doc_id = q.query_id)
+SELECT CAST(w AS VARCHAR) || '@' || d AS cell, count(*) AS n, round(avg(coalesce(CAST(rank <= 1 AS INTEGER), 0)), 6) AS hit1, round(avg(coalesce(CAST(rank <= 5 AS INTEGER), 0)), 6) AS hit5, round(avg(CAST(rank IS NOT NULL AS INTEGER)), 6) AS hit10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM per GROUP BY w, d""",
+    "eval_alignment": f"""{P._BASE},
+{P._BM},
+{P._TOK},
+a AS (SELECT query_id, list(doc_id ORDER BY rank) AS x FROM {P._top("bscore", 10)} GROUP BY 1), b AS (SELECT query_id, list(doc_id ORDER BY rank) AS y FROM {P._top("kscore", 10)} GROUP BY 1),
+f AS (SELECT a.x, b.y, list_sort(a.x) IS DISTINCT FROM list_sort(b.y) AS o FROM a FULL JOIN b ON a.query_id = b.query_id)
+SELECT count(*) AS n_queries, count(*) FILTER (WHERE o) AS other_memories, count(*) FILTER (WHERE NOT o AND x IS DISTINCT FROM y) AS other_order FROM f""",
     "eval_graph_coverage": f"""{P._BASE},
 {P._EDGES},
 c AS (SELECT m.scope, CAST(e.doc_id IS NOT NULL AS INTEGER) AS f, g.query_id IS NOT NULL AS gold FROM mem m LEFT JOIN (SELECT DISTINCT doc_id FROM edges) e ON e.doc_id = m.doc_id LEFT JOIN q g ON g.query_id = m.doc_id),

@@ -364,6 +364,9 @@ def _per_sql(name: str, ranking: str) -> str:
 
 
 _SUMMARY = "SELECT category, CAST(grouping(category) AS INTEGER) AS overall, count(*) AS n, round(avg(hit1), 6) AS hit1, round(avg(hit5), 6) AS hit5, round(avg(hit10), 6) AS hit10, round(avg(rr), 6) AS mrr FROM {0} GROUP BY CUBE (category)"
+_MIXED = f"""base AS {_top("bscore", DEPTH)},
+norm AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM base WINDOW w AS (PARTITION BY query_id)),
+mixed AS (SELECT n.query_id, n.doc_id, n.s + 0.5 * coalesce(k.score, 0) AS score FROM norm n LEFT JOIN kg k ON k.query_id = n.query_id AND k.doc_id = n.doc_id)"""
 _PB = _per_sql("pb", _top("bscore", 10))
 _PT = _per_sql("pt", _top("tscore", 10))
 _DENSE = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
@@ -386,13 +389,7 @@ SQL = {
     "rank_graph_boost": f"{_BASE},\n{_TF},\n{_EDGES},\nboosted AS (SELECT t.query_id, t.doc_id, t.score + 0.25 * coalesce(e.f, 0) AS score FROM tscore t LEFT JOIN (SELECT DISTINCT scope, doc_id, 1 AS f FROM edges) e ON e.scope = t.scope AND e.doc_id = t.doc_id)\nSELECT * FROM {_top('boosted', 10)}",
     "rank_graph_features": f"{_BASE},\n{_FEATURES}\nSELECT scope, doc_id, CAST(sum(is_entity) AS BIGINT) AS n_entity, CAST(sum(is_relation) AS BIGINT) AS n_relation, count(*) AS n_tokens FROM feat GROUP BY ALL",
     "rank_graph_scores": f"{_BASE},\n{_KG}\nSELECT * FROM {_top('kg', 10)}",
-    "rank_graph_rerank": f"""{_BASE},
-{_BM},
-{_KG},
-base AS {_top("bscore", DEPTH)},
-norm AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM base WINDOW w AS (PARTITION BY query_id)),
-mixed AS (SELECT n.query_id, n.doc_id, n.s + 0.5 * coalesce(k.score, 0) AS score FROM norm n LEFT JOIN kg k ON k.query_id = n.query_id AND k.doc_id = n.doc_id)
-SELECT * FROM {_top("mixed", 10)}""",
+    "rank_graph_rerank": f"{_BASE},\n{_BM},\n{_KG},\n{_MIXED}\nSELECT * FROM {_top('mixed', 10)}",
     "rank_fusion_rrf": f"{_LISTS},\nscore AS (SELECT {_IDS}, coalesce(1 / (60.0::DOUBLE + a.rank), 0) + coalesce(1 / (60.0::DOUBLE + b.rank), 0) AS score FROM {_FULL})\nSELECT * FROM {_top('score', 10, 8)}",
     "rank_fusion_weighted": f"{_LISTS},\nscore AS (SELECT {_IDS}, 0.5::DOUBLE / (10 + coalesce(a.rank, 999)) + 0.5::DOUBLE / (10 + coalesce(b.rank, 999)) AS score FROM {_FULL})\nSELECT * FROM {_top('score', 10, 8)}",
     "rank_fusion_four": f"""{_LISTS},

@@ -170,6 +170,18 @@ UNION ALL SELECT k, 'row', 'missing_in_cassandra' FROM n WHERE k NOT IN (SELECT
     + ")"
 )
 
+_COPY = "SELECT " + _key("memory_id") + " AS k, " + ", ".join(f"{_WHOLE.format(v)} AS {v}" for v in VERSIONS) + " FROM p5_3c_{0}_final_state_audit WHERE " + _key("memory_id") + " IS NOT NULL"
+_RESIDUE = "SELECT k, " + ", ".join(f"max({v}) AS {v}" for v in VERSIONS) + " FROM (SELECT * FROM {0} EXCEPT ALL SELECT * FROM {1}) GROUP BY k"
+_RESIDUE_SQL = (
+    f"""
+WITH c AS ({_COPY.format("cassandra")}), n AS ({_COPY.format("neo4j")}),
+l AS ({_RESIDUE.format("c", "n")}), r AS ({_RESIDUE.format("n", "c")})
+SELECT k AS memory_id, 'row' AS field, CASE WHEN k IN (SELECT k FROM n) THEN 'repeated_in_cassandra' ELSE 'missing_in_neo4j' END AS kind, CAST(NULL AS BIGINT) AS left_value, CAST(NULL AS BIGINT) AS right_value FROM l WHERE k NOT IN (SELECT k FROM r)
+UNION ALL SELECT k, 'row', CASE WHEN k IN (SELECT k FROM c) THEN 'repeated_in_neo4j' ELSE 'missing_in_cassandra' END, NULL, NULL FROM r WHERE k NOT IN (SELECT k FROM l)
+"""
+    + "".join(f"UNION ALL SELECT l.k, '{v}', 'differs', l.{v}, r.{v} FROM l JOIN r ON l.k = r.k WHERE l.{v} IS DISTINCT FROM r.{v}\n" for v in VERSIONS)
+)
+
 _ORPHAN_SQL = f"""
 WITH m AS (SELECT graph_id, {_key("memory_id")} AS k, bool_or(deleted_at IS NOT NULL) AS deleted, min(created_at) AS created_at, true AS there FROM memory_by_id GROUP BY ALL),
 r AS (SELECT 'kg_edges_by_src' AS ref_table, edge_id AS ref_key, graph_id, {_key("memory_id")} AS k, epoch_us(created_at) AS at FROM kg_edges_by_src
@@ -195,6 +207,7 @@ WITH b AS (SELECT experiment, {_key("mode")} AS mode, hop, latency_ms FROM b2a_r
 q AS (SELECT experiment, mode, hop, unnest([50, 90, 99]) AS pct, unnest(quantile_disc(latency_ms, [0.5, 0.9, 0.99])) AS p FROM b GROUP BY experiment, mode, hop)
 SELECT experiment, mode, hop, CAST(pct AS INTEGER) AS pct, CAST(floor(log2(p)) AS INTEGER) AS band FROM q WHERE p > 0""",
     "p4_found": _DIFFERENCE_SQL + " SELECT * FROM found",
+    "p4_differences": _RESIDUE_SQL,
     "p5_found": _ORPHAN_SQL + " SELECT * FROM direct",
     "p5_orphans_by_period": _ORPHAN_SQL
     + """ SELECT ref_table, kind, 'direct' AS origin, 0 AS depth, period, count(*) AS n_refs FROM direct GROUP BY ALL
