@@ -42,7 +42,8 @@ def test_vectors_and_sinks(spark, tmp_path):
     files.write_csv(rows, str(tmp_path / "out"), ["z", "t"], mode="append")
     assert files.read_csv(spark, str(tmp_path / "out")).count() == 2
     files.write_json_lines(rows, str(tmp_path / "j"))
-    text = next((tmp_path / "j").glob("*.json")).read_text()
+    # some partitions have no row and write an empty file
+    text = "".join(file.read_text() for file in (tmp_path / "j").glob("*.json"))
     assert list(json.loads(text)) == ["extra", "t", "z"]
 
 
