@@ -39,7 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    own = tempfile.mkdtemp(prefix="graphloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    context.setCheckpointDir(own)
     return context.getCheckpointDir().rstrip("/")
 
 
