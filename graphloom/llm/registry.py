@@ -19,6 +19,12 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p6_packing(spark, sf))
 
 
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each container: its size, texts, tokens and unused space."""
+    rows = p6_packing(spark, sf).where("container_id is not null").groupBy("container_id", "capacity", "step_group").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("tokens").alias("tokens"))
+    return rows.withColumn("unused", F.col("capacity") - F.col("tokens"))
+
+
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "heldout_items"))
 
@@ -34,6 +40,12 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.sum((contained == 1).cast("bigint")).alias("n_whole"), F.max(contained).alias("max_containment"))
 
 
+def p7_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """For each document concerned: how many items leaked into it, how many of them whole, and the greatest containment."""
+    contained = F.col("shared_windows") / F.col("item_windows")
+    return _leaks(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum((contained == 1).cast("bigint")).alias("n_whole"), F.max(contained).alias("max_containment"))
+
+
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
     return reading_level.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
@@ -49,7 +61,7 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf).join(source, "doc_id").groupBy("source", "level").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("prose_words").alias("prose_words"))
 
 
-QUERIES = {f.__name__: f for f in (p6_packing, p6_fill, p7_found, p7_items, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p6_packing, p6_containers, p6_fill, p7_found, p7_documents, p7_items, p8_found, p8_profile)}
 
 #: Tokenising, text folding and fitted models have no SQL; tests/llm compares these queries with brute force and held-out labels.
 SQL: dict[str, str] = {}
