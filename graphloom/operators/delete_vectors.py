@@ -64,7 +64,7 @@ class DeleteVectorTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}-{number}")
 
-    def apply(self, changes: DataFrame) -> None:
+    def apply(self, changes: DataFrame, reopened: DataFrame | None = None) -> None:
         """Apply a batch: ``changes(key, version, sequence, deletes, *payload)`` in any order.
 
         The change with the greatest (version, sequence) decides a key, within
@@ -74,6 +74,10 @@ class DeleteVectorTable:
         with a null key or version are none; a null sequence counts as the
         lowest. Each key takes part in the joins once, as the batch is reduced
         before its shuffle, so a hot key costs no task more than another.
+
+        ``reopened(key)``, distinct, names keys whose earlier decision no
+        longer holds: the batch alone, which must have all that is known of
+        them, decides them anew, and a key without any change is gone.
         """
         number = self.batches + 1
         image = F.struct("version", "sequence", "deletes", *self.payload)
@@ -87,7 +91,11 @@ class DeleteVectorTable:
         index = self._table("index", self.batches, _INDEX)
         old = index.select("key", F.struct("version", "sequence", "file", "place").alias("old"))
         newer = F.col("old").isNull() | (F.struct("new.version", "new.sequence") > F.struct("old.version", "old.sequence"))
-        resolved = batch.join(old, "key", "full").withColumn("wins", F.col("new").isNotNull() & newer)
+        resolved, anew = batch.join(old, "key", "full"), F.lit(False)
+        if reopened is not None:
+            resolved = resolved.join(reopened.select("key", F.lit(True).alias("anew")), "key", "left")
+            anew = F.coalesce("anew", F.lit(False))
+        resolved = resolved.select("key", "new", "old", (F.col("new").isNotNull() & (newer | anew)).alias("wins"), (F.col("new").isNull() & anew).alias("gone"))
         resolved.write.mode("overwrite").parquet(f"{self.folder}/resolved-{number}")
         resolved = self.spark.read.parquet(f"{self.folder}/resolved-{number}")
 
@@ -96,10 +104,10 @@ class DeleteVectorTable:
         appended = self.spark.read.schema(self.schema).parquet(f"{self.folder}/images-{number}")
         located = appended.select("key", "version", "sequence", F.concat(F.lit(f"images-{number}/"), F.col("_metadata.file_name")).alias("file"), F.col("_metadata.row_index").alias("place"))
         tombstones = winners.where("coalesce(deletes, false)").select("key", "version", "sequence", F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("place"))
-        kept = resolved.where("not wins").select("key", "old.*")
+        kept = resolved.where("not wins and not gone").select("key", "old.*")
         located.unionByName(tombstones).unionByName(kept).write.mode("overwrite").parquet(f"{self.folder}/index-{number}")
 
-        superseded = resolved.where("wins and old.file is not null").select("old.file", (F.col("old.place") + 1).alias("place"))
+        superseded = resolved.where("(wins or gone) and old.file is not null").select("old.file", (F.col("old.place") + 1).alias("place"))
         fresh = superseded.groupBy("file", F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
         both = self._table("vectors", self.batches, _VECTORS).unionByName(fresh)
         both.groupBy("file", "block").agg(F.bitmap_or_agg("bits").alias("bits")).write.mode("overwrite").parquet(f"{self.folder}/vectors-{number}")

@@ -22,27 +22,50 @@ def changes(feed: DataFrame) -> DataFrame:
     return rows.where("key is not null and version is not null").withColumn("deletes", F.col("operation").eqNullSafe("delete_memory"))
 
 
+def placed(earlier: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """Changes of ``rows`` that ``earlier`` doesn't have, or has at a higher place, with the key that they stood under before.
+
+    A change stands at its lowest sequence (of equal ones, at the least row, as
+    in ``first_deliveries``). Rows without ``update_id`` are changes of their own.
+    """
+    columns = rows.columns
+    image = F.struct(F.col("sequence").isNull().alias("_late"), F.col("sequence").alias("_at"), *[c for c in columns if c != "update_id"])
+    both = rows.withColumn("_new", F.lit(True))
+    if earlier is not None:
+        both = both.unionByName(earlier.select(*columns).withColumn("_new", F.lit(False)))
+    places = both.where("update_id is not null").groupBy("update_id").agg(F.min(image).alias("now"), F.min(F.when(~F.col("_new"), image)).alias("was"))
+    moved = places.where(F.col("was").isNull() | (F.col("now") < F.col("was")))
+    moved = moved.select(*[F.col(c) if c == "update_id" else F.col(f"now.{c}").alias(c) for c in columns], F.col("was.key").alias("old_key"))
+    return moved.unionByName(rows.where("update_id is null").withColumn("old_key", F.lit(None).cast("string")))
+
+
 def materialize(feed: DataFrame, folder: str, checkpoint: str) -> None:
     """Apply all that has arrived to the table in ``folder``, batch by batch, and stop.
 
     Spark's checkpoint advances only after a batch has been applied. A batch
-    that is delivered again after a failure changes nothing, as a change wins
-    only over an older one. Repeats of a change are reduced within a batch; a
-    repeat in a later batch, whose place is the lowest sequence seen, is left
-    out by the ids applied before, which are kept beside the table.
+    that is delivered again after a failure changes nothing: what it added to
+    the changes kept beside the table is written anew. A change counts once, at
+    the lowest sequence of all batches: a repeat that is not lower is left out;
+    a lower one moves its change, and the keys that it stood under are decided
+    anew among all changes of theirs. Rows that are no changes leave no trace.
     """
     spark = feed.sparkSession
-    seen_path = f"{folder}/applied-ids"
+    log = f"{folder}/changes"
 
     def apply(batch: DataFrame, number: int) -> None:
         table = DeleteVectorTable.open(spark, f"{folder}/table", PAYLOAD)
-        fresh = first_deliveries(changes(batch), "update_id", "sequence")
-        if number:
-            earlier = spark.read.schema("update_id string, batch long").parquet(seen_path).where(F.col("batch") < number)
-            fresh = fresh.join(earlier, "update_id", "left_anti")
-        table.apply(fresh)
-        ids = batch.where("update_id is not null").select("update_id").distinct().withColumn("batch", F.lit(number).cast("bigint"))
-        ids.write.mode("append").parquet(seen_path)
+        rows = changes(batch)
+        kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+        kept = lambda n: spark.read.schema(f"{kinds}, old_key string, batch long").parquet(log).where(F.col("batch") < n)
+        placed(kept(number) if number else None, rows).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        fresh = kept(number + 1).where(F.col("batch") == number)
+        reopened = fresh.where("old_key is not null").select(F.col("old_key").alias("key")).distinct()
+        fresh = fresh.select(*rows.columns)
+        if reopened.isEmpty():
+            table.apply(fresh)
+        else:
+            known = first_deliveries(kept(number + 1).select(*rows.columns), "update_id", "sequence")
+            table.apply(fresh.unionByName(known.join(reopened, "key", "left_semi").select(*rows.columns)), reopened)
 
     query = feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

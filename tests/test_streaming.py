@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from graphloom.operators.delete_vectors import DeleteVectorTable
+from graphloom.plans.training import p2_found
 from graphloom.streaming.materializer import PAYLOAD, current, materialize, read_feed
 
 SCHEMA = "sequence long, update_id string, memory_id string, version int, operation string"
@@ -35,3 +38,31 @@ def test_a_batch_that_broke_off_is_written_anew(spark, tmp_path):
     assert again.batches == 1
     again.apply(spark.createDataFrame([("b", 1, 2, False, "u2")], schema))
     assert {r.key for r in DeleteVectorTable.open(spark, folder, ["update_id"]).read().collect()} == {"a", "b"}
+
+
+def test_changes_across_batches(spark, tmp_path):
+    feed, table, checkpoint = str(tmp_path / "feed"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    arrive = lambda *rows: (add(spark, feed, list(rows)), materialize(read_feed(spark, feed, SCHEMA), table, checkpoint))
+    state = lambda: {(r.key, r.version, r.sequence, r.update_id) for r in current(spark, table).collect()}
+    # rows that are no changes come before the valid delivery of their update_id
+    arrive((1, "u1", None, 1, "insert_memory"), (2, "u2", "b", None, "insert_memory"), (9, "u3", "c", 1, "insert_memory"), (5, "u4", "c", 1, "insert_memory"), (12, "u5", "d", 2, "delete_memory"))
+    assert state() == {("c", 1, 9, "u3")}
+    arrive((3, "u1", "a", 1, "insert_memory"), (4, "u2", "b", 1, "insert_memory"), (11, "u6", "d", 2, "insert_memory"))
+    assert state() == {("a", 1, 3, "u1"), ("b", 1, 4, "u2"), ("c", 1, 9, "u3")}
+    # repeats with a lower sequence: u3 and the deletion u5 fall behind their rivals, u1 moves to another memory
+    arrive((3, "u3", "c", 1, "insert_memory"), (10, "u5", "d", 2, "delete_memory"), (1, "u1", "e", 1, "insert_memory"))
+    assert state() == {("b", 1, 4, "u2"), ("c", 1, 5, "u4"), ("d", 2, 11, "u6"), ("e", 1, 1, "u1")}
+    # a repeat that isn't lower does nothing, a rival between both places of u3 wins
+    arrive((9, "u3", "c", 1, "insert_memory"), (6, "u7", "c", 1, "insert_memory"))
+    assert state() == {("b", 1, 4, "u2"), ("c", 1, 6, "u7"), ("d", 2, 11, "u6"), ("e", 1, 1, "u1")}
+
+
+def test_many_files_one_a_batch_give_p2_found(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/materialized.parquet")
+    feed = str(tmp_path / "feed")
+    # late sequences first, so that most repeats come with a lower sequence than before
+    rows.repartitionByRange(6, F.col("sequence").desc()).write.parquet(feed)
+    materialize(read_feed(spark, feed, rows.schema), str(tmp_path / "table"), str(tmp_path / "checkpoint"))
+    assert DeleteVectorTable.open(spark, str(tmp_path / "table" / "table"), PAYLOAD).batches >= 5
+    found = {(r.key, r.version, r.update_id) for r in current(spark, str(tmp_path / "table")).collect()}
+    assert found == {tuple(r) for r in p2_found(spark, sf).collect()}
