@@ -49,13 +49,22 @@ def _started() -> Column:
     return F.timestamp_micros(F.floor(F.col("processing_started_ns") / 1000).cast("bigint"))
 
 
-def feed_backlog(spark: SparkSession, sf: str) -> DataFrame:
-    """Arrivals, completions and open changes of each graph by hour."""
+def _backlog(spark: SparkSession, sf: str, width: str, span: str | None = None) -> DataFrame:
     done = F.timestamp_micros((F.floor(F.col("processing_started_ns") / 1000) + F.round(F.col("update_to_searchable_ms") * 1000)).cast("bigint"))
-    rows = D.backlog(table(spark, sf, "materialized"), "graph_id", _started(), done)
+    rows = D.backlog(table(spark, sf, "materialized"), "graph_id", _started(), done, width, span)
     return rows.select("graph_id", F.unix_seconds("bucket").alias("bucket"), "produced", "applied", "backlog")
 
 
+def feed_backlog(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrivals, completions and open changes of each graph by hour."""
+    return _backlog(spark, sf, "1 hour")
+
+
+def feed_backlog_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by second, as an hour hides what starts and ends in it; changes never found stay open in both."""
+    return _backlog(spark, sf, "1 second", "day")
+
+
 def feed_searchable(spark: SparkSession, sf: str) -> DataFrame:
     """By operation and status, how many changes are found at all, first, and among the first ten."""
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
@@ -187,6 +196,7 @@ QUERIES = {
         feed_deliveries,
         feed_stage_latency,
         feed_backlog,
+        feed_backlog_seconds,
         feed_searchable,
         feed_hot_memories,
         feed_final_audit,
@@ -289,3 +299,5 @@ SELECT relation, object_type, count(*) AS n, count(DISTINCT object) AS n_objects
 t AS (SELECT doc_id, turn, regexp_extract(line, '^\\[\\d\\d:\\d\\d\\] ([^:]+): (.*)$', 1) AS speaker FROM l WHERE regexp_matches(line, '^\\[\\d\\d:\\d\\d\\] ([^:]+): (.*)$'))
 SELECT a.doc_id, count(*) AS n_turns, count(DISTINCT a.speaker) AS n_speakers, count(*) FILTER (WHERE a.speaker <> b.speaker) AS n_changes FROM t a LEFT JOIN t b ON b.doc_id = a.doc_id AND b.turn = a.turn + 1 GROUP BY 1""",
 }
+
+SQL["feed_backlog_seconds"] = SQL["feed_backlog"].replace("// 3600000000 * 3600", "// 1000000")
