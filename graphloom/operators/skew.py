@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key with at least this share of the rows is salted, so there are at most 1 / HOT_SHARE of them.
@@ -20,7 +20,7 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     return counts.join(F.broadcast(whole)).where(F.col("_n") >= share * F.col("_whole")).select(key)
 
 
-def salted_join(rows: DataFrame, unique: DataFrame, key: str, salt_by: str, share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
+def salted_join(rows: DataFrame, unique: DataFrame, key: str, salt_by: str | Column, share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
     """Left join of ``rows`` to ``unique`` (one row for each key) on ``key``.
 
     Rows of hot keys are spread over ``salts`` tasks by the hash of ``salt_by``;
