@@ -1,4 +1,4 @@
-"""Queries of the general training-data problems 1 to 5, each over its whole tables."""
+"""Queries of the general training-data problems, each over its whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import as_key, as_whole
-from graphloom.operators import chunked_keys, copy_difference, delete_vectors, orphans, relative_quantiles
+from graphloom.operators import chunked_keys, copy_difference, delete_vectors, orphans
 from graphloom.session import cut
 from graphloom.sources.tables import table
 
@@ -64,26 +64,6 @@ def p2_current_by_graph(spark: SparkSession, sf: str) -> DataFrame:
     return current_memories(spark, sf).read().groupBy("graph_id", "operation").agg(F.count(F.lit(1)).alias("n_memories"), F.max("version").alias("max_version"))
 
 
-def _latency_sketches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "b2a_raw").where("error = 0 and latency_ms >= 0 and not isnan(latency_ms)")
-    by = {"experiment": F.col("experiment"), "mode": as_key("mode"), "hop": F.col("hop"), "run_day": F.col("run_day")}
-    return relative_quantiles.sketch(rows, by, F.col("latency_ms"))
-
-
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The power of two below the 50th, 90th and 99th percentile of latency, from merged sketches of the days."""
-    group = ["experiment", "mode", "hop"]
-    daily = relative_quantiles.merge_sketches(_latency_sketches(spark, sf), [*group, "run_day"])
-    rows = relative_quantiles.percentiles(relative_quantiles.merge_sketches(daily, group), group, [50, 90, 99])
-    return rows.where("value > 0 and value < double('infinity')").select(*group, "pct", F.floor(F.log2("value")).cast("int").alias("band"))
-
-
-def p3_daily_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """The percentiles of each day; the sketches behind them are those that p3_found merges."""
-    group = ["experiment", "mode", "hop", "run_day"]
-    return relative_quantiles.percentiles(relative_quantiles.merge_sketches(_latency_sketches(spark, sf), group), group, [50, 90, 95, 99])
-
-
 def _audit(spark: SparkSession, sf: str, backend: str) -> DataFrame:
     rows = table(spark, sf, f"p5_3c_{backend}_final_state_audit")
     return rows.select(as_key("memory_id").alias("memory_id"), *[as_whole(v).alias(v) for v in VERSIONS])
@@ -127,7 +107,7 @@ def p5_orphans_by_period(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_source_profile, p1_relation_profile, p2_found, p2_current_by_graph, p3_found, p3_daily_percentiles, p4_found, p4_differences, p5_found, p5_orphans_by_period)
+    for f in (p1_found, p1_source_profile, p1_relation_profile, p2_found, p2_current_by_graph, p4_found, p4_differences, p5_found, p5_orphans_by_period)
 }
 
 
@@ -202,10 +182,6 @@ SELECT a.table_name, a.key_value FROM a JOIN t USING (table_name) WHERE key_valu
     "p1_relation_profile": _profile_sql("kg_edges_by_relation_bucket", "relation"),
     "p2_found": CURRENT_SQL + " SELECT memory_id, version, update_id FROM live",
     "p2_current_by_graph": CURRENT_SQL + " SELECT graph_id, operation, count(*) AS n_memories, CAST(max(version) AS BIGINT) AS max_version FROM live GROUP BY ALL",
-    "p3_found": f"""
-WITH b AS (SELECT experiment, {_key("mode")} AS mode, hop, latency_ms FROM b2a_raw WHERE error = 0 AND latency_ms >= 0 AND NOT isnan(latency_ms)),
-q AS (SELECT experiment, mode, hop, unnest([50, 90, 99]) AS pct, unnest(quantile_disc(latency_ms, [0.5, 0.9, 0.99])) AS p FROM b GROUP BY experiment, mode, hop)
-SELECT experiment, mode, hop, CAST(pct AS INTEGER) AS pct, CAST(floor(log2(p)) AS INTEGER) AS band FROM q WHERE p > 0""",
     "p4_found": _DIFFERENCE_SQL + " SELECT * FROM found",
     "p4_differences": _RESIDUE_SQL,
     "p5_found": _ORPHAN_SQL + " SELECT * FROM direct",
