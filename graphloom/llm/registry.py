@@ -5,9 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import leakage, packing, reading_level
+from graphloom.functions.keys import as_key
+from graphloom.llm import leakage, packing, reading_level, relative_quantiles
 from graphloom.sources.tables import table
 
+GROUP = ["experiment", "mode", "hop"]
+
+
+def _daily_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """One sketch of latency for each group and day, which any other days can be merged with later."""
+    rows = table(spark, sf, "b2a_raw").where("error = 0 and latency_ms >= 0 and not isnan(latency_ms)")
+    by = {"experiment": F.col("experiment"), "mode": as_key("mode"), "hop": F.col("hop"), "run_day": F.col("run_day")}
+    return relative_quantiles.merge_sketches(relative_quantiles.sketch(rows, by, F.col("latency_ms")), list(by))
+
+
+def _bands(sketches: DataFrame, by: list[str], percents: list[int]) -> DataFrame:
+    rows = relative_quantiles.percentiles(sketches, by, percents)
+    return rows.where("value > 0 and value < double('infinity')").select(*by, "pct", F.floor(F.log2("value")).cast("int").alias("band"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The power of two below the 50th, 90th and 99th percentile of latency, from merged sketches of the days."""
+    return _bands(relative_quantiles.merge_sketches(_daily_sketches(spark, sf), GROUP), GROUP, [50, 90, 99])
+
+
+def p3_daily_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of each day, from the sketches that p3_found merges; exact where a day has few rows."""
+    return _bands(_daily_sketches(spark, sf), [*GROUP, "run_day"], [50, 90, 99])
+
 
 def p6_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's place in the containers."""
@@ -61,7 +86,17 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf).join(source, "doc_id").groupBy("source", "level").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("prose_words").alias("prose_words"))
 
 
-QUERIES = {f.__name__: f for f in (p6_packing, p6_containers, p6_fill, p7_found, p7_documents, p7_items, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_daily_percentiles, p6_packing, p6_containers, p6_fill, p7_found, p7_documents, p7_items, p8_found, p8_profile)}
+
+_MODE = "nullif(lower(regexp_replace(mode, '^\\s+|\\s+$', '', 'g')), '')"
+
+
+def _bands_sql(by: str) -> str:
+    return f"""
+WITH b AS (SELECT experiment, {_MODE} AS mode, hop, run_day, latency_ms FROM b2a_raw WHERE error = 0 AND latency_ms >= 0 AND NOT isnan(latency_ms)),
+q AS (SELECT {by}, unnest([50, 90, 99]) AS pct, unnest(quantile_disc(latency_ms, [0.5, 0.9, 0.99])) AS p FROM b GROUP BY {by})
+SELECT {by}, CAST(pct AS INTEGER) AS pct, CAST(floor(log2(p)) AS INTEGER) AS band FROM q WHERE p > 0 AND NOT isinf(p)"""
+
 
-#: Tokenising, text folding and fitted models have no SQL; tests/llm compares these queries with brute force and held-out labels.
-SQL: dict[str, str] = {}
+#: Tokenising, text folding and fitted models have no SQL; tests/llm compares those queries with brute force and held-out labels.
+SQL: dict[str, str] = {"p3_found": _bands_sql("experiment, mode, hop"), "p3_daily_percentiles": _bands_sql("experiment, mode, hop, run_day")}

@@ -13,10 +13,17 @@ import numpy as np
 #: Characters that a block of texts holds; bounds the memory of a task whatever the batch.
 BLOCK_CHARS = 400_000
 
-# fixed values: HTML elements that begin a new line or cell; all other tags stand inside running text
-_BREAKING = "p|div|br|hr|li|ul|ol|dl|dt|dd|td|th|tr|table|thead|tbody|h[1-6]|pre|blockquote|section|article|header|footer"
-_BREAK = re.compile(rf"</?(?:{_BREAKING})(?:\s[^<>]*)?/?>", re.IGNORECASE)
-_INLINE = re.compile(r"</?[A-Za-z][^<>]{0,500}>|<!--.*?-->", re.DOTALL)
+# fixed values: HTML elements that begin a new line or cell
+_BREAKING = frozenset("p div br hr li ul ol dl dt dd td th tr table thead tbody tfoot caption h1 h2 h3 h4 h5 h6 pre blockquote section article aside header footer main nav address figure figcaption form fieldset legend option title body html head".split())
+# fixed values: HTML elements that stand inside running text or have none
+_INLINE = frozenset("a abbr acronym audio b base basefont bdi bdo big button canvas center cite code col colgroup data datalist del details dfn dialog dir em embed font frame frameset hgroup i iframe img input ins kbd label link map mark menu meta meter noframes noscript object optgroup output param picture progress q rp rt ruby s samp script search select slot small source span strike strong style sub summary sup svg math template textarea time track tt u var video wbr".split())
+# fixed values: attributes that have no value
+_BARE = "allowfullscreen|async|autofocus|autoplay|checked|compact|controls|default|defer|disabled|download|formnovalidate|hidden|inert|ismap|itemscope|loop|multiple|muted|nomodule|noshade|novalidate|nowrap|open|playsinline|readonly|required|reversed|selected"
+_NAME = r"[A-Za-z][A-Za-z0-9:._-]*+"
+_VALUE = r"""(?:"[^"<]*+"|'[^'<]*+'|[^\s"'=<>`]++)"""
+_ATTRIBUTES = rf"""(?:\s++(?:[^\s"'<>/=]++\s*+=\s*+{_VALUE}|(?:{_BARE})(?![^\s/>])))*+"""
+_TAG = re.compile(rf"<(?:(/)({_NAME})\s*+|({_NAME}){_ATTRIBUTES}\s*+/?+)>|<!--.*?-->|<!doctype\b[^<>]*+>", re.IGNORECASE | re.DOTALL)
+_CLOSING = re.compile(rf"</({_NAME})\s*+>")
 
 _LETTER = np.uint64(0x9E3779B97F4A7C15)
 _WORD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -28,15 +35,42 @@ def _invisible() -> frozenset[str]:
     return frozenset(chr(c) for c in range(0xE0080) if unicodedata.category(chr(c)) == "Cf")
 
 
+def _without_tags(text: str) -> str:
+    """Text without tags of any length; those of blocks and cells become line feeds.
+
+    A tag is one by its grammar: a name, then attributes that have a value or
+    are known to need none. Its name is that of an HTML element, or is closed
+    somewhere in the text. Any other ``<`` is a character like others, so
+    ``if x <y and z> 1`` stays whole.
+    """
+    closed: set[str] | None = None
+
+    def instead(tag: re.Match) -> str:
+        nonlocal closed
+        name = (tag[2] or tag[3] or "").lower()
+        if name in _BREAKING:
+            return "\n"
+        if not name or name in _INLINE or tag[1]:
+            return ""
+        if closed is None:
+            closed = {found.lower() for found in _CLOSING.findall(text)}
+        return "" if name in closed else tag[0]
+
+    return _TAG.sub(instead, text)
+
+
 def plain(text: str) -> str:
     """Text without markup, entities, invisible characters and differing encodings of one character; lines stay.
 
     Letter case stays too. Texts of ASCII characters without markup come back as they are.
     """
+    if "<" in text:
+        text = _without_tags(text)
     if "&" in text:
+        escaped = "&lt;" in text or "&#" in text
         text = html.unescape(text)
-    if "<" in text:
-        text = _INLINE.sub("", _BREAK.sub("\n", text))
+        if escaped and "<" in text:
+            text = _without_tags(text)
     if not text.isascii():
         for character in _invisible().intersection(text):
             text = text.replace(character, "")

@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -15,6 +16,23 @@ def test_plain_undoes_disguises():
     assert W.plain("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
 
 
+def test_tags_of_any_length_go_and_other_angles_stay():
+    words = " ".join(f"w{i}" for i in range(200))
+    assert W.plain(f'one <a title="{words}" data-x=\'{words}\' href=u.html>two</a> three') == "one two three"
+    assert W.plain(f"<p class={'c' * 900}>a</p><!-- {words} --><td nowrap>b<img src=x hidden />c") == "\na\n\nbc"
+    assert W.plain("<!DOCTYPE html><x-note k='v'>n</x-note> <tei:w>m</tei:w>") == "n m"
+    for text in ("if x <y and then some words> z", "a <b and c> d", "List<int> of <unknown>", "x <- y, 3 <4> 5", "<" * 50, "<a href='x", "<p "):
+        assert W.plain(text) == text
+    assert W.plain("&lt;b&gt;bold&lt;/b&gt; 1 &lt; 2") == "bold 1 < 2"
+
+
+def test_long_texts_of_angles_take_linear_time():
+    for part in ("<a ", "<a b=", '<a b="c" ', "<a b=c d", "</", "<!-", "< x"):
+        began = time.process_time()
+        W.plain(part * 60_000)
+        assert time.process_time() - began < 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab Z9_-é中文\t.", max_size=30), max_size=8))
 def test_words_agree_with_a_pattern(texts):
