@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.functions.keys import as_key
 from graphloom.operators import evaluation as V
 from graphloom.operators import fusion as U
 from graphloom.operators import retrieval as R
 from graphloom.operators import signals as G
 from graphloom.plans import retrieval as P
 from graphloom.plans import training
-from graphloom.session import new_folder
+from graphloom.session import cut, new_folder
 from graphloom.sources.tables import table
 from graphloom.streaming import materializer
+from graphloom.streaming.search_index import refresh_postings
 
 SALIENT = "friend family work school travel health music book project plan meeting record found made".split()
 
@@ -122,19 +124,50 @@ def trial_balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
     return G.balanced_sample(table(spark, sf, "heldout_items"), "item_id", "category", 100)
 
 
+FEED_FILES, FILES_A_BATCH = 8, 2
+
+
+def _feed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed as a stream of files, written in parts in the order of arrival and read a few at a time."""
+    rows = table(spark, sf, "materialized")
+    parts = new_folder(spark, "feed")
+    rows.withColumn("_arrival", F.monotonically_increasing_id()).repartitionByRange(FEED_FILES, "_arrival").drop("_arrival").write.parquet(parts)
+    return materializer.read_feed(spark, parts, rows.schema, FILES_A_BATCH)
+
+
+def _now(spark: SparkSession, folder: str) -> DataFrame:
+    return materializer.current(spark, folder).select(F.col("key").alias("memory_id"), F.col("version").cast("int").alias("version"), "update_id")
+
+
 def feed_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The feed read as a stream of files and applied batch by batch: the memories that exist at its end."""
-    path = f"{sf}/materialized.parquet"
-    schema = spark.read.parquet(path).schema
+    """The feed applied as a stream in several batches: the memories that exist at its end."""
     folder = new_folder(spark, "stream")
-    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path + "*")
-    materializer.materialize(feed, folder, folder + "/checkpoint")
-    return materializer.current(spark, folder).select(F.col("key").alias("memory_id"), F.col("version").cast("int").alias("version"), "update_id")
+    materializer.materialize(_feed_files(spark, sf), folder, folder + "/checkpoint")
+    return _now(spark, folder)
+
+
+def feed_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The same strictly by sequence: what exists when the first gap blocks the feed."""
+    folder = new_folder(spark, "ordered")
+    materializer.materialize_in_order(_feed_files(spark, sf), folder, folder + "/checkpoint")
+    return _now(spark, folder)
+
+
+def feed_search_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings of the first version of each memory, kept up with its last one or its deletion: terms and texts by graph."""
+    rows = table(spark, sf, "memory_by_id").where(as_key("memory_id").isNotNull())
+    image = F.struct("version", "updated_at", F.col("raw_text").alias("text"))
+    ends = rows.groupBy(F.col("graph_id").alias("scope"), P._ident().alias("doc_id")).agg(F.min(image).alias("a"), F.max(image).alias("z"), F.max(F.col("deleted_at").isNotNull()).alias("deleted"))
+    ends = cut(ends, "memories")
+    index = cut(R.postings(ends.select("scope", "doc_id", "a.text"), X.tokens), "postings")
+    changed = ends.where("deleted or not (a.text <=> z.text)").select("scope", "doc_id", "z.text", "deleted")
+    now = refresh_postings(index, changed)
+    return now.groupBy("scope").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"), F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("term").alias("n_terms"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (memory_signals, memory_salience, rank_graph_native, rank_selective, rank_hybrid, eval_recall_depths, eval_outcomes, eval_graph_coverage, eval_rerank_grid, eval_alignment, text_prompts, trial_balanced_sample, feed_stream)
+    for f in (memory_signals, memory_salience, rank_graph_native, rank_selective, rank_hybrid, eval_recall_depths, eval_outcomes, eval_graph_coverage, eval_rerank_grid, eval_alignment, text_prompts, trial_balanced_sample, feed_stream, feed_in_order, feed_search_index)
 }
 
 
@@ -224,4 +257,9 @@ SELECT query_id, CAST(length(prompt) AS INTEGER) AS n_chars, sha256(prompt) AS p
 r AS (SELECT item_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || item_id), item_id) AS r FROM heldout_items)
 SELECT item_id, category FROM r JOIN c USING (category) WHERE r <= 100 // k + CAST(i < 100 % k AS INTEGER)""",
     "feed_stream": training.SQL["p2_found"],
+    "feed_in_order": training.SQL["p2_found"].replace("FROM materialized)", "FROM materialized WHERE sequence <= (SELECT min(sequence) FROM (SELECT 0 AS sequence UNION ALL SELECT sequence FROM materialized) WHERE sequence + 1 NOT IN (SELECT sequence FROM materialized WHERE sequence IS NOT NULL)))"),
+    "feed_search_index": f"""
+WITH m AS (SELECT graph_id AS scope, graph_id || '/' || {P._KEY} AS doc_id, last(raw_text ORDER BY version NULLS FIRST, updated_at NULLS FIRST, raw_text NULLS FIRST) AS text FROM memory_by_id WHERE {P._KEY} IS NOT NULL GROUP BY ALL HAVING count(deleted_at) = 0),
+t AS (SELECT scope, doc_id, unnest({P._tokens_sql("text")}) AS term FROM m)
+SELECT scope, CAST(sum(n) AS BIGINT) AS n_tokens, count(*) AS n_postings, count(DISTINCT doc_id) AS n_docs, count(DISTINCT term) AS n_terms FROM (SELECT scope, doc_id, term, count(*) AS n FROM t GROUP BY ALL) GROUP BY scope""",
 }

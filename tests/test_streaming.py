@@ -2,7 +2,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.delete_vectors import DeleteVectorTable
 from graphloom.plans.training import p2_found
-from graphloom.streaming.materializer import PAYLOAD, current, materialize, read_feed
+from graphloom.operators.retrieval import postings
+from graphloom.streaming.materializer import PAYLOAD, current, materialize, materialize_in_order, prefix_end, read_feed
+from graphloom.streaming.search_index import refresh_postings
 
 SCHEMA = "sequence long, update_id string, memory_id string, version int, operation string"
 
@@ -66,3 +68,34 @@ def test_many_files_one_a_batch_give_p2_found(spark, sf, tmp_path):
     assert DeleteVectorTable.open(spark, str(tmp_path / "table" / "table"), PAYLOAD).batches >= 5
     found = {(r.key, r.version, r.update_id) for r in current(spark, str(tmp_path / "table")).collect()}
     assert found == {tuple(r) for r in p2_found(spark, sf).collect()}
+
+
+def test_a_late_repeat_with_a_lower_sequence_falls_behind(spark, tmp_path):
+    feed, table, checkpoint = str(tmp_path / "feed"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    add(spark, feed, [(9, "u5", "a", 1, "insert_memory"), (7, "u7", "a", 1, "insert_memory")])
+    add(spark, feed, [(2, "u5", "a", 1, "insert_memory")])
+    materialize(read_feed(spark, feed, SCHEMA), table, checkpoint)
+    assert [(r.key, r.update_id) for r in current(spark, table).collect()] == [("a", "u7")]
+
+
+def test_gaps_block(spark, tmp_path):
+    feed, table, checkpoint = str(tmp_path / "feed"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    arrive = lambda *rows: (add(spark, feed, list(rows)), materialize_in_order(read_feed(spark, feed, SCHEMA), table, checkpoint))
+    state = lambda: {(r.key, r.update_id) for r in current(spark, table).collect()}
+    arrive((2, "u2", "b", 1, "insert_memory"), (1, "u1", "a", 1, "insert_memory"), (4, "u4", "a", 2, "delete_memory"), (None, "u9", "z", 1, "insert_memory"))
+    assert state() == {("a", "u1"), ("b", "u2")}
+    arrive((6, "u6", "c", 1, "insert_memory"), (4, "u4", "a", 2, "delete_memory"))
+    assert state() == {("a", "u1"), ("b", "u2")}
+    arrive((3, "u3", "b", 2, "replace_relation"), (1, "u1", "a", 1, "insert_memory"))
+    assert state() == {("b", "u3")}
+    arrive((5, None, None, None, None))
+    assert state() == {("b", "u3"), ("c", "u6")}
+    rows = spark.createDataFrame([(3,), (5,), (6,), (6,), (None,)], "sequence long")
+    assert [prefix_end(rows, n) for n in (2, 3, 4, 7)] == [3, 3, 6, 7]
+
+
+def test_postings_follow_the_texts(spark):
+    texts = spark.createDataFrame([("g", "1", "red apple red"), ("g", "2", "green pear"), ("g", "3", None), ("h", "1", "red plum")], "scope string, doc_id string, text string")
+    changed = spark.createDataFrame([("g", "1", "blue apple", False), ("g", "2", "green pear", True), ("g", "4", "new plum", None), ("h", "9", None, False)], "scope string, doc_id string, text string, deleted boolean")
+    now = {(r.scope, r.doc_id, r.term, r.tf) for r in refresh_postings(postings(texts), changed).collect()}
+    assert now == {("g", "1", "blue", 1), ("g", "1", "apple", 1), ("g", "4", "new", 1), ("g", "4", "plum", 1), ("h", "1", "red", 1), ("h", "1", "plum", 1), ("h", "1", "red plum", 1)}
