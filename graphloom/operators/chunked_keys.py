@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.skew import salted_join
 from graphloom.session import cut
 
 CHUNK_ROWS = 100_000
@@ -29,7 +30,7 @@ def number_rows(df: DataFrame, key: Column, order: Column | None = None, value:
     """Rows of ``df`` in the order (key, ``order``), exactly numbered: ``(key, at, value, *payload, row)``.
 
     ``key`` is a text; rows whose key is null are left out. ``order`` is a
-    number or timestamp (microseconds are kept), ``value`` a whole number; both
+    number or timestamp (microseconds are kept; fractions are only in a double), ``value`` a whole number; both
     may be null. Equal rows are told apart by their arrival, so that even a key
     with one repeated row can be split. ``row`` counts from 0 over all keys;
     :func:`key_starts` has the number at which each key begins.
@@ -40,7 +41,9 @@ def number_rows(df: DataFrame, key: Column, order: Column | None = None, value:
     rows = df.select(key.alias("key"), at.alias("at"), value.cast("bigint").alias("value"), *payload)
     if dict(rows.dtypes)["at"].startswith("timestamp"):
         rows = rows.withColumn("at", F.unix_micros(F.col("at").cast("timestamp")))
-    rows = rows.where("key is not null").withColumns({"at": F.col("at").cast("bigint"), "arrival": F.monotonically_increasing_id()})
+    if dict(rows.dtypes)["at"] != "double":
+        rows = rows.withColumn("at", F.col("at").cast("bigint"))
+    rows = rows.where("key is not null").withColumn("arrival", F.monotonically_increasing_id())
     rows = rows.repartitionByRange("key", "at", "arrival").sortWithinPartitions("key", "at", "arrival").drop("arrival")
     # the identifier holds the partition in its upper bits and the row's place in the lower 33
     rows = rows.withColumn("place", F.monotonically_increasing_id())
@@ -61,6 +64,14 @@ def key_starts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("row").alias("start"), F.count(F.lit(1)).alias("n"))
 
 
+def places(rows: DataFrame) -> DataFrame:
+    """Numbered rows with ``place``, their number within their key from 0, and ``n``, how many the key has.
+
+    A key with many rows meets its one start in as many tasks as it fills.
+    """
+    return salted_join(rows, key_starts(rows), "key", "row", "inner").withColumn("place", F.col("row") - F.col("start")).drop("start")
+
+
 def _states(batches: Iterator[pa.RecordBatch], chunk_rows: int, burst_gap: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.string()), *((name, pa.int64()) for name in _NUMBERS)])
     for batch in batches:
@@ -139,7 +150,7 @@ def profile_keys(df: DataFrame, key: Column, order: Column | None = None, value:
     table gives none. Exact for any skew: no task holds more than a range
     partition's or a chunk's rows of a key.
     """
-    rows = number_rows(df, key, order, value)
+    rows = number_rows(df, key, order, value).withColumn("at", F.col("at").cast("bigint"))
     states = rows.mapInArrow(lambda batches: _states(batches, chunk_rows, burst_gap), _STATE)
     merged = _merge(_merge(states, ["key", "chunk"], burst_gap), ["key"], burst_gap)
     bursts = F.when(F.col("n_at") > 0, F.col("bursts") + 1).otherwise(0)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators.chunked_keys import number_rows
+from graphloom.operators.chunked_keys import key_starts, number_rows, places
+from graphloom.session import cut
 
 ABSENT_RANK = 99
 
@@ -75,55 +76,66 @@ def answer_scores(answers: DataFrame) -> DataFrame:
     return rows.join(same, "id", "left").select("id", (F.col("ps") == F.col("gs")).cast("int").alias("em_strict"), (F.col("pr") == F.col("gr")).cast("int").alias("em_relaxed"), F.round(f1, 6).alias("f1"), F.col("abstains").cast("int").alias("abstains"), (F.col("abstains") & (F.col("gr") != "")).cast("int").alias("wrong_abstention"))
 
 
+# fixed values: the sums of the Poisson probabilities with mean 1, of 0 to 9 events
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217)
+
+
 def paired_bootstrap(differences: DataFrame, by: str, reps: int = 1000, seed: int = 42) -> DataFrame:
     """Mean difference and its 95 % interval from ``differences(by, diff)``, by resampling whole groups ``by``.
 
-    The draws follow from a hash of repetition and place, so that results don't
-    depend on partitions. Groups are reduced to sums first; with a group for
-    each query this is the paired bootstrap, with one for each conversation the
-    cluster bootstrap. Resampling joins ``reps * groups`` draws to the groups.
+    In each repetition a group counts as often as a Poisson draw with mean 1
+    says, which for many groups is resampling with replacement; the draw
+    follows from a hash of repetition and group, so that results don't depend
+    on partitions. Groups are reduced to sums first; with a group for each
+    query this is the paired bootstrap, with one for each conversation the
+    cluster bootstrap. Each task adds up its own groups for all repetitions,
+    so ``reps`` rows a task are shuffled, whatever the number of groups.
+    Repetitions that draw nothing have no mean; of the others' means in order
+    those at 2.5 and 97.5 % are the bounds.
     """
     groups = differences.groupBy(by).agg(F.sum("diff").alias("_s"), F.count("diff").alias("_n"))
-    name = F.when(F.col(by).isNull(), "n").otherwise(F.concat(F.lit("k"), F.col(by).cast("string")))
-    numbered = number_rows(groups, name, payload=["_s", "_n"]).select(F.col("row").alias("_i"), "_s", "_n")
-    size = groups.agg(F.count(F.lit(1)).alias("_g"))
-    reps_ = differences.sparkSession.range(reps).select(F.col("id").alias("rep"))
-    draws = reps_.join(F.broadcast(size)).where("_g > 0").select("rep", "_g", F.explode(F.sequence(F.lit(0), F.col("_g").cast("int") - 1)).alias("draw"))
-    draws = draws.select("rep", F.pmod(F.xxhash64("rep", "draw", F.lit(seed)), F.col("_g")).alias("_i"))
-    means = draws.join(numbered, "_i").groupBy("rep").agg((F.sum("_s") / F.sum("_n")).alias("m"))
-    ordered = means.withColumn("_r", F.row_number().over(Window.orderBy("m")) - 1)
-    low, high = int(reps * 0.025), int(reps * 0.975)
-    bounds = ordered.agg(F.max(F.when(F.col("_r") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("_r") == high, F.col("m"))).alias("high"))
+    name = F.coalesce(F.concat(F.lit("k"), F.col(by).cast("string")), F.lit("n"))
+    rows = groups.select("_s", "_n", name.alias("_name"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    spot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), "_name")), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
+    weight = sum(((spot >= bound).cast("int") for bound in POISSON), F.lit(0))
+    sums = rows.select("rep", weight.alias("_w"), "_s", "_n").where("_w > 0").groupBy("rep").agg(F.sum(F.col("_w") * F.col("_s")).alias("s"), F.sum(F.col("_w") * F.col("_n")).alias("n"))
+    means = sums.where("n > 0").select((F.col("s") / F.col("n")).alias("m"))
+    # as many rows as repetitions
+    ordered = means.select("m", (F.row_number().over(Window.orderBy("m")) - 1).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_k"))
+    at = lambda share, c: F.max(F.when(F.col("_r") == F.floor(F.col("_k") * share), F.col("m"))).alias(c)
+    bounds = ordered.agg(at(0.025, "low"), at(0.975, "high"))
     mean = groups.agg((F.sum("_s") / F.sum("_n")).alias("mean_diff"), F.count(F.lit(1)).alias("n_groups"))
     return mean.join(F.broadcast(bounds)).select("n_groups", F.round("mean_diff", 6).alias("mean_diff"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-def percentile_definitions(samples: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
+#: Wanted ranks up to which they are broadcast to the numbered rows; more are joined by shuffle.
+BROADCAST_RANKS = 200_000
+
+
+def percentile_definitions(samples: DataFrame, by: list[str], value: str, percents: list[int], digits: int | None = 6) -> DataFrame:
     """Exact percentiles under four definitions: linear, floor index, nearest rank rounded, upper index.
 
-    ``(*by, pct, n, linear, floor, nearest, upper)``. Values are reduced to
-    counts of equal values before the shuffle; ranks come from running sums.
+    ``(*by, pct, n, linear, floor, nearest, upper)``, of all rows if ``by`` is
+    empty; ``digits`` rounds the linear one. The samples are numbered by range
+    partitions and prefix sums, and the rows whose numbers are wanted are
+    picked, so that no task sees a whole group. Null values count nowhere; a
+    group of none gives no row, null group values form groups of their own.
     """
-    counts = samples.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*by).orderBy(value)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_to", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by))).withColumn("_from", F.col("_to") - F.col("_c"))
-    p = F.explode(F.array(*map(F.lit, percents))).alias("pct")
-    rows = ranked.select(*by, F.col(value).alias("_v"), "_from", "_to", "_n", p)
-    last, share = F.col("_n") - 1, F.col("pct") / 100.0
-    at = lambda i: F.max(F.when((F.col("_from") <= i) & (i < F.col("_to")), F.col("_v")))
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("all")
+    rows = number_rows(samples.where(F.col(value).isNotNull()), key, F.col(value).cast("double"), payload=by)
+    starts = cut(key_starts(rows), "starts")
+    last, share = F.col("n") - 1, F.col("pct") / 100.0
     spot = last * share
-    low, high = F.floor(spot), F.ceil(spot)
-    rows = rows.groupBy(*by, "pct").agg(
-        F.max("_n").alias("n"),
-        at(low).alias("_low"),
-        at(high).alias("_high"),
-        F.max(spot - low).alias("_frac"),
-        at(F.floor(spot)).alias("floor"),
-        at(F.floor(spot + 0.5)).alias("nearest"),
-        at(F.least(last, F.floor(F.col("_n") * share))).alias("upper"),
-    )
-    return rows.select(*by, "pct", "n", F.round(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_frac"), 6).alias("linear"), "floor", "nearest", "upper")
+    spots = {"low": F.floor(spot), "high": F.ceil(spot), "nearest": F.floor(spot + 0.5), "upper": F.least(last, F.floor(F.col("n") * share))}
+    wanted = starts.select("start", "n", F.explode(F.array(*map(F.lit, percents))).alias("pct"))
+    wanted = wanted.select("start", "n", "pct", (spot - F.floor(spot)).alias("fraction"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), i.cast("bigint").alias("i")) for k, i in spots.items()])).alias("x"))
+    wanted = wanted.select("n", "pct", "fraction", "x.kind", (F.col("start") + F.col("x.i")).alias("row"))
+    if starts.count() * len(percents) * len(spots) <= BROADCAST_RANKS:
+        wanted = F.broadcast(wanted)
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("at")))
+    found = rows.join(wanted, "row").groupBy(*by, "pct").agg(F.max("n").alias("n"), F.max("fraction").alias("_f"), *[at(kind).alias(f"_{kind}") for kind in spots])
+    linear = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_f")
+    return found.select(*by, "pct", "n", (linear if digits is None else F.round(linear, digits)).alias("linear"), F.col("_low").alias("floor"), F.col("_nearest").alias("nearest"), F.col("_upper").alias("upper"))
 
 
 def main_effects(cells: DataFrame, factors: list[str], value: str) -> DataFrame:
@@ -141,15 +153,49 @@ def interactions(cells: DataFrame, factors: list[str], value: str) -> DataFrame:
     return rows.groupBy("x.factor_a", "x.factor_b").agg(F.round((mean(1, 1) - mean(0, 1)) - (mean(1, 0) - mean(0, 0)), 6).alias("interaction"))
 
 
+def _in_hash_order(rows: DataFrame, ident: str, stratum: str, seed: int) -> DataFrame:
+    """``(ident, stratum, place, n)``: the number of each row in its stratum, ordered by hash, and the stratum's size."""
+    spot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string"))), 1, 15), 16, 10).cast("bigint")
+    key = F.coalesce(F.concat(F.lit("k"), F.col(stratum).cast("string")), F.lit("n"))
+    return places(number_rows(rows, key, spot, payload=[ident, stratum])).select(ident, stratum, "place", "n")
+
+
 def stratified_split(rows: DataFrame, ident: str, stratum: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """``(ident, stratum, part)``: the first ``max(1, int(share * n))`` of each stratum in hash order are ``dev``, the rest ``test``.
 
-    Only a rank is needed, which a window gives; a very large stratum is one
-    sort, so split those by hash before.
+    Exact for strata of any size, as rows are numbered over all partitions.
+    Null strata are one; equal rows are told apart.
+    """
+    numbered = _in_hash_order(rows, ident, stratum, seed)
+    return numbered.select(ident, stratum, F.when(F.col("place") < F.greatest(F.lit(1), F.floor(F.col("n") * share)), "dev").otherwise("test").alias("part"))
+
+
+def balanced_sample(rows: DataFrame, ident: str, stratum: str, size: int, seed: int = 42) -> DataFrame:
+    """``(ident, stratum)``: ``size`` rows shared evenly among the strata, the first ones in order getting the remainder; hash order decides.
+
+    A stratum with fewer rows than its share gives all it has.
+    """
+    strata = rows.select(stratum).distinct()
+    # one row for each stratum
+    numbered = strata.withColumn("_i", F.row_number().over(Window.orderBy(F.col(stratum).asc_nulls_last())) - 1).join(F.broadcast(strata.agg(F.count(F.lit(1)).alias("_k"))))
+    quota = F.floor(F.lit(size) / F.col("_k")) + (F.col("_i") < F.lit(size) % F.col("_k")).cast("int")
+    quotas = numbered.select(F.col(stratum).alias("_stratum"), quota.alias("_q"))
+    # no stratum has more rows wanted than the first has
+    first = _in_hash_order(rows, ident, stratum, seed).where(F.col("place") < size)
+    return first.join(quotas, F.col(stratum).eqNullSafe(F.col("_stratum"))).where("place < _q").select(ident, stratum)
+
+
+def grouped_split(rows: DataFrame, ident: str, group: str, held_out: int, seed: int = 42) -> DataFrame:
+    """``(ident, group, part)``: all rows of the first ``held_out`` groups in hash order are ``held_out``, those of the rest ``dev``.
+
+    Groups, not rows, are drawn, so that no conversation is on both sides. A
+    null group is a group.
     """
-    spot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")))
-    ranked = rows.select(ident, stratum, spot.alias("_h")).withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", ident))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(stratum)))
-    return ranked.select(ident, stratum, F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)), "dev").otherwise("test").alias("part"))
+    name = F.coalesce(F.concat(F.lit("k"), F.col(group).cast("string")), F.lit("n"))
+    groups = rows.select(name.alias("_g")).distinct().select("_g", F.md5(F.concat_ws(":", F.lit(str(seed)), "_g")).alias("_h"))
+    chosen = groups.orderBy("_h", "_g").limit(held_out).select("_g", F.lit(True).alias("_out"))
+    part = F.when(F.col("_out"), "held_out").otherwise("dev")
+    return rows.select(ident, group, name.alias("_g")).join(chosen, "_g", "left").select(ident, group, part.alias("part"))
 
 
 def leave_one_out(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from graphloom.operators.evaluation import percentile_definitions
 from graphloom.operators.retrieval import top_k
+from graphloom.session import cut
 
 _FLOOR = 1e-9
 
@@ -82,11 +84,13 @@ def gated(base: DataFrame, rerank: DataFrame, top: float = 0.75, gap: float = 0.
     """Reranking only where the base is unsure.
 
     A query keeps its base list if its best score and the gap to the second
-    exceed the ``top`` and ``gap`` quantiles of all queries.
+    exceed the ``top`` and ``gap`` quantiles of all queries (in whole percent).
     """
     best = base.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("_top"), (F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0))).alias("_gap"))
-    limits = best.agg(F.percentile("_top", F.lit(top)).alias("_tq"), F.percentile("_gap", F.lit(gap)).alias("_gq"))
-    sure = best.join(F.broadcast(limits)).where((F.col("_top") > F.col("_tq")) & (F.col("_gap") > F.col("_gq"))).select("query_id")
+    best = cut(best, "best")
+    # one row each
+    limit = lambda c, share, name: F.broadcast(percentile_definitions(best, [], c, [round(share * 100)], None).select(F.col("linear").alias(name)))
+    sure = best.join(limit("_top", top, "_tq")).join(limit("_gap", gap, "_gq")).where((F.col("_top") > F.col("_tq")) & (F.col("_gap") > F.col("_gq"))).select("query_id")
     kept = base.where(F.col("rank") <= k).join(sure, "query_id", "left_semi").select("query_id", "rank", "doc_id")
     changed = top_k(rerank, k).join(sure, "query_id", "left_anti").select("query_id", "rank", "doc_id")
     return kept.unionByName(changed)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.operators.skew import hot_keys, salted_join
 from graphloom.session import cut
 
 Terms = Callable[[Column], Column]
@@ -63,8 +64,10 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
     else:
         weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * relative) + epsilon)
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = found.join(frequency, ["scope", "term"]).join(stats, "scope").select("scope", "doc_id", "term", (idf * weight).alias("_w"))
-    return weighted.join(asked.select("scope", "query_id", "term"), ["scope", "term"]).groupBy("scope", "query_id", "doc_id").agg(F.sum("_w").alias("score"))
+    # all that a term needs goes to the queries' side, so that the postings are joined once
+    asked = asked.join(frequency, ["scope", "term"]).join(stats, "scope").select("scope", "query_id", "term", idf.alias("_idf"), "mean_length")
+    met = salted_join(found, asked, ["scope", "term"], "doc_id", "inner")
+    return met.groupBy("scope", "query_id", "doc_id").agg(F.sum(F.col("_idf") * weight).alias("score"))
 
 
 def tfidf(corpus: DataFrame, queries: DataFrame, terms: Terms = X.terms, sublinear: bool = False) -> DataFrame:
@@ -78,11 +81,13 @@ def tfidf(corpus: DataFrame, queries: DataFrame, terms: Terms = X.terms, subline
     sizes = corpus.groupBy("scope").agg(F.count(F.lit(1)).alias("n_docs"))
     idf = frequency.join(sizes, "scope").select("scope", "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     damp = (lambda c: 1 + F.log(c)) if sublinear else (lambda c: c)
-    docs = every.join(idf, ["scope", "term"]).select("scope", "doc_id", "term", (damp(F.col("tf")) * F.col("idf")).alias("_d"))
+    # terms that very many documents have are spread over tasks
+    hot = cut(hot_keys(every, ["scope", "term"]), "hot-terms")
+    docs = salted_join(every, idf, ["scope", "term"], "doc_id", "inner", hot=hot).select("scope", "doc_id", "term", (damp(F.col("tf")) * F.col("idf")).alias("_d"))
     norms = docs.groupBy("scope", "doc_id").agg(F.sqrt(F.sum(F.col("_d") * F.col("_d"))).alias("_dn"))
     asked = query_terms(queries, terms).join(idf, ["scope", "term"]).select("scope", "query_id", "term", (damp(F.col("qtf")) * F.col("idf")).alias("_q"))
     qnorms = asked.groupBy("scope", "query_id").agg(F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("_qn"))
-    dots = docs.join(asked, ["scope", "term"]).groupBy("scope", "query_id", "doc_id").agg(F.sum(F.col("_d") * F.col("_q")).alias("_dot"))
+    dots = salted_join(docs, asked, ["scope", "term"], "doc_id", "inner", hot=hot).groupBy("scope", "query_id", "doc_id").agg(F.sum(F.col("_d") * F.col("_q")).alias("_dot"))
     return dots.join(norms, ["scope", "doc_id"]).join(qnorms, ["scope", "query_id"]).select("scope", "query_id", "doc_id", (F.col("_dot") / (F.col("_dn") * F.col("_qn"))).alias("score"))
 
 
@@ -121,7 +126,8 @@ def dense(corpus: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id",
     """Cosine similarity within each scope, exact: the best ``k`` of each query as ``top_k`` gives them.
 
     ``corpus`` and ``queries`` hold ``scope``, ``ident`` and ``vector``.
-    Queries and corpus meet in blocks of matrices, and each pair of blocks is
+    Queries and corpus meet in blocks of matrices, spread over all tasks by
+    slices of the corpus even if all have one scope, and each pair of blocks is
     cut to ``k`` a query, so what is shuffled follows the number of blocks, not
     of pairs. Vectors of no length are similar to nothing (0).
     """
@@ -142,8 +148,14 @@ def dense(corpus: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id",
                 a, b = np.nonzero((rounded >= least) & np.isfinite(scores))
                 yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(ids[b]), pa.array(scores[a, b])], names=["query_id", "doc_id", "score"])
 
-    asked = _blocks(queries, ident, vector).select("scope", F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"))
-    met = asked.join(_blocks(corpus, ident, vector), "scope")
+    # a grid: the blocks of a scope are dealt to slices, and each block of queries goes to every slice of its scope
+    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = F.least(F.lit(2 * tasks), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int")
+    scopes = corpus.groupBy(F.col("scope").cast("string").alias("scope")).agg(slices.alias("slices"))
+    asked = _blocks(queries, ident, vector).join(scopes, "scope")
+    asked = asked.select("scope", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"))
+    held = _blocks(corpus, ident, vector).join(scopes, "scope").withColumn("slice", F.pmod(F.xxhash64("ids"), F.col("slices")).cast("int")).drop("slices")
+    met = asked.join(held, ["scope", "slice"])
     return top_k(met.mapInArrow(run, "query_id long, doc_id long, score double"), k)
 
 
@@ -172,7 +184,7 @@ def graph_scores(features: DataFrame, queries: DataFrame, weights: dict[str, flo
     rows = queries.select("scope", "query_id", F.array_distinct(X.tokens(F.col("text"))).alias("_t"))
     rows = rows.select("scope", "query_id", F.size("_t").alias("n"), X.is_temporal(F.col("_t")).alias("temporal"), F.size(F.filter("_t", X.is_entity_like)).alias("entities"), F.explode("_t").alias("token"))
     temporal = features.where(F.col("token").isin(*X.TEMPORAL_WORDS)).select("scope", "doc_id").distinct().withColumn("_timed", F.lit(True))
-    met = rows.join(features, ["scope", "token"]).groupBy("scope", "query_id", "doc_id", "n", "temporal", "entities")
+    met = salted_join(features, rows, ["scope", "token"], "doc_id", "inner").groupBy("scope", "query_id", "doc_id", "n", "temporal", "entities")
     met = met.agg(F.sum("is_entity").alias("e"), F.sum("is_relation").alias("r"), F.count(F.lit(1)).alias("a"), F.sum(F.when(X.is_entity_like(F.col("token")), F.col("is_entity")).otherwise(0)).alias("ee"))
     met = met.join(temporal, ["scope", "doc_id"], "left")
     score = (

@@ -93,13 +93,3 @@ def prompts(questions: DataFrame, ranking: DataFrame, texts: DataFrame) -> DataF
     # fixed values: the wording of the prompt
     head = "Answer the question using only the evidence below.\nIf the evidence does not contain the answer, respond exactly with 'Cannot answer'.\nReturn only the shortest answer. Do not explain.\n\nEvidence:\n"
     return rows.select("query_id", F.concat(F.lit(head), F.array_join(numbered, "\n\n"), F.lit("\n\nQuestion: "), F.coalesce("question", F.lit("")), F.lit("\nAnswer:")).alias("prompt"))
-
-
-def balanced_sample(rows: DataFrame, ident: str, stratum: str, size: int, seed: int = 42) -> DataFrame:
-    """``(ident, stratum)``: ``size`` rows shared evenly among the strata, the first ones in order getting the remainder; hash order decides."""
-    spot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")))
-    strata = rows.select(stratum).distinct()
-    numbered = strata.withColumn("_i", F.row_number().over(Window.orderBy(stratum)) - 1).join(F.broadcast(strata.agg(F.count(F.lit(1)).alias("_k"))))
-    quota = F.floor(F.lit(size) / F.col("_k")) + (F.col("_i") < F.lit(size) % F.col("_k")).cast("int")
-    ranked = rows.select(ident, stratum, spot.alias("_h")).withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", ident)))
-    return ranked.join(numbered.select(stratum, quota.alias("_q")), stratum).where(F.col("_r") <= F.col("_q")).select(ident, stratum)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.functions.keys import as_key
+from graphloom.functions.keys import as_key, utc_day
 from graphloom.operators import evaluation as V
 from graphloom.operators import extraction as T
 from graphloom.operators import feeds as D
@@ -77,7 +77,8 @@ def feed_hot_memories(spark: SparkSession, sf: str) -> DataFrame:
     rows = _feed(spark, sf).where("memory is not null").select("memory", "update_id", F.col("update_to_searchable_ms").alias("ms"))
     counts = rows.groupBy("memory").agg((F.count(F.lit(1)) >= 8).alias("hot"))
     rows = salted_join(rows, counts, "memory", "update_id")
-    p = rows.agg(F.percentile(F.when(F.col("hot"), F.col("ms")), F.lit(0.5)).alias("hot_p50"), F.percentile(F.when(~F.col("hot"), F.col("ms")), F.lit(0.5)).alias("other_p50"), F.sum(F.col("hot").cast("bigint")).alias("n_hot"))
+    p = V.percentile_definitions(rows.where("ms is not null"), ["hot"], "ms", [50], None)
+    p = p.agg(F.sum(F.when(F.col("hot"), F.col("n"))).alias("n_hot"), F.max(F.when(F.col("hot"), F.col("linear"))).alias("hot_p50"), F.max(F.when(~F.col("hot"), F.col("linear"))).alias("other_p50"))
     return p.select("n_hot", F.round("hot_p50", 4).alias("hot_p50"), F.round("other_p50", 4).alias("other_p50"), F.round(F.col("hot_p50") / F.col("other_p50"), 4).alias("ratio"))
 
 
@@ -150,9 +151,24 @@ def trial_days(spark: SparkSession, sf: str) -> DataFrame:
     return daily.groupBy("experiment", "mode", "hop").agg(F.count(F.lit(1)).alias("n_days"), F.round(p(0.5), 4).alias("median_ms"), F.round(p(0.75) - p(0.25), 4).alias("iqr_ms"))
 
 
+def _known_memories(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "memory_by_id").where("graph_id is not null").select("graph_id", as_key("memory_id").alias("memory_id"))
+    return rows.where("memory_id is not null").distinct().select("graph_id", F.concat_ws("/", "graph_id", "memory_id").alias("memory"))
+
+
 def trial_split(spark: SparkSession, sf: str) -> DataFrame:
-    """A split of the evaluation items, a fifth of each category for development."""
-    return V.stratified_split(table(spark, sf, "heldout_items"), "item_id", "category")
+    """A split of the memories, a fifth of each graph for development."""
+    return V.stratified_split(_known_memories(spark, sf), "memory", "graph_id")
+
+
+def trial_balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """1000 memories shared evenly among the graphs."""
+    return V.balanced_sample(_known_memories(spark, sf), "memory", "graph_id", 1000)
+
+
+def trial_grouped_split(spark: SparkSession, sf: str) -> DataFrame:
+    """A split of the memories by graph: eight graphs are held out whole."""
+    return V.grouped_split(_known_memories(spark, sf), "memory", "graph_id", 8)
 
 
 def text_token_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,7 +186,7 @@ def text_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_representations(spark: SparkSession, sf: str) -> DataFrame:
     """Characters of each of the 16 representations that put entities, relations, keywords and time after the raw text or not."""
-    rows = table(spark, sf, "raw_erk_view").select("graph_id", X.raw_part(F.col("text")).alias("raw"), *[X.enrichment(F.col("text"), c).alias(c) for c in ("Entities", "Relations", "Keywords")], F.date_format(F.timestamp_seconds("updated_at"), "yyyy-MM-dd").alias("Time"))
+    rows = table(spark, sf, "raw_erk_view").select("graph_id", X.raw_part(F.col("text")).alias("raw"), *[X.enrichment(F.col("text"), c).alias(c) for c in ("Entities", "Relations", "Keywords")], utc_day(F.timestamp_seconds("updated_at")).cast("string").alias("Time"))
     variants = T.variants(rows, "raw", ["Entities", "Relations", "Keywords", "Time"])
     return variants.groupBy("variant").agg(F.count("text").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
@@ -209,6 +225,8 @@ QUERIES = {
         trial_repeats,
         trial_days,
         trial_split,
+        trial_balanced_sample,
+        trial_grouped_split,
         text_token_stats,
         text_enrichment,
         text_representations,
@@ -249,6 +267,8 @@ _TOKENS = "list_filter(string_split(regexp_replace(lower(coalesce(raw_text, ''))
 _PATTERNS = "[" + ", ".join(f"{{'p': '{p}', 'r': '{r}'}}" for p, r in T.VERB_PATTERNS) + "]"
 _TYPES = "CASE " + " ".join(f"WHEN len(list_filter({words}, lambda w: contains(object, w))) > 0 THEN '{kind}'" for kind, words in T.OBJECT_TYPES.items()) + " ELSE 'object' END"
 
+_KNOWN = f"WITH k AS (SELECT DISTINCT graph_id, graph_id || '/' || {_MEMORY} AS memory FROM memory_by_id WHERE graph_id IS NOT NULL AND {_MEMORY} IS NOT NULL)"
+
 SQL = {
     "feed_prefix": _PREFIX,
     "feed_gaps": "SELECT DISTINCT CAST(sequence + 1 AS BIGINT) AS missing FROM materialized WHERE sequence + 1 NOT IN (SELECT sequence FROM materialized) AND sequence < (SELECT max(sequence) FROM materialized)",
@@ -262,7 +282,7 @@ c AS (SELECT graph_id, bucket, sum(p) AS p, sum(f) AS f FROM x GROUP BY ALL)
 SELECT graph_id, CAST(bucket AS BIGINT) AS bucket, CAST(p AS BIGINT) AS produced, CAST(f AS BIGINT) AS applied, CAST(sum(p - f) OVER (PARTITION BY graph_id ORDER BY bucket) AS BIGINT) AS backlog FROM c""",
     "feed_searchable": f"SELECT {_KEY.format('operation')} AS operation, status, count(*) AS n_changes, count(retrieved_rank) AS n_found, count(*) FILTER (WHERE retrieved_rank = 1) AS n_first, count(*) FILTER (WHERE retrieved_rank <= 10) AS n_top10 FROM materialized GROUP BY ALL",
     "feed_hot_memories": f"""WITH r AS (SELECT {_MEMORY} AS m, update_to_searchable_ms AS ms FROM materialized WHERE {_MEMORY} IS NOT NULL), h AS (SELECT m, count(*) >= 8 AS hot FROM r GROUP BY 1),
-j AS (SELECT ms, hot FROM r JOIN h USING (m)), p AS (SELECT count(*) FILTER (WHERE hot) AS n_hot, quantile_cont(ms, 0.5) FILTER (WHERE hot) AS a, quantile_cont(ms, 0.5) FILTER (WHERE NOT hot) AS b FROM j)
+j AS (SELECT ms, hot FROM r JOIN h USING (m)), p AS (SELECT count(ms) FILTER (WHERE hot) AS n_hot, quantile_cont(ms, 0.5) FILTER (WHERE hot) AS a, quantile_cont(ms, 0.5) FILTER (WHERE NOT hot) AS b FROM j)
 SELECT n_hot, round(a, 4) AS hot_p50, round(b, 4) AS other_p50, round(a / b, 4) AS ratio FROM p""",
     "feed_final_audit": _AUDIT + " SELECT * FROM audit",
     "feed_recovery_gate": _AUDIT
@@ -281,7 +301,11 @@ SELECT g.experiment, g.hop, g.mode, g.n, round(g.hit, 6) AS hit_rate, round(g.me
     ),
     "trial_repeats": f"WITH {_TRIALS} SELECT mode, hop, count(*) AS n_repeated, count(*) FILTER (WHERE lo < hi) AS n_changed FROM (SELECT mode, hop, query_id, min(returned_edges) AS lo, max(returned_edges) AS hi FROM t GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL",
     "trial_days": f"WITH {_TRIALS} SELECT experiment, mode, hop, count(*) AS n_days, round(quantile_cont(m, 0.5), 4) AS median_ms, round(quantile_cont(m, 0.75) - quantile_cont(m, 0.25), 4) AS iqr_ms FROM (SELECT experiment, mode, hop, run_day, avg(latency_ms) AS m FROM t GROUP BY ALL) GROUP BY ALL",
-    "trial_split": "SELECT item_id, category, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY md5('42:' || item_id), item_id) <= greatest(1, floor(count(*) OVER (PARTITION BY category) * 0.2)) THEN 'dev' ELSE 'test' END AS part FROM heldout_items",
+    "trial_split": f"{_KNOWN} SELECT memory, graph_id, CASE WHEN row_number() OVER (PARTITION BY graph_id ORDER BY md5('42:' || memory), memory) <= greatest(1, floor(count(*) OVER (PARTITION BY graph_id) * 0.2)) THEN 'dev' ELSE 'test' END AS part FROM k",
+    "trial_balanced_sample": f"""{_KNOWN}, c AS (SELECT graph_id, row_number() OVER (ORDER BY graph_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT graph_id FROM k)),
+r AS (SELECT memory, graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY md5('42:' || memory), memory) AS r FROM k)
+SELECT memory, graph_id FROM r JOIN c USING (graph_id) WHERE r <= 1000 // n + CAST(i < 1000 % n AS INTEGER)""",
+    "trial_grouped_split": f"{_KNOWN} SELECT memory, graph_id, CASE WHEN graph_id IN (SELECT graph_id FROM (SELECT DISTINCT graph_id FROM k) ORDER BY md5('42:k' || graph_id) LIMIT 8) THEN 'held_out' ELSE 'dev' END AS part FROM k",
     "text_token_stats": f"WITH k AS (SELECT graph_id, {_TOKENS} AS t FROM memory_by_id) SELECT graph_id, count(*) AS n_rows, CAST(sum(len(t)) AS BIGINT) AS n_tokens, CAST(sum(len(list_filter(t, lambda x: length(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+')))) AS BIGINT) AS n_entity_like, count(*) FILTER (WHERE list_has_any(t, {X.TEMPORAL_WORDS})) AS n_temporal FROM k GROUP BY 1",
     "text_enrichment": "SELECT graph_id, " + _MEMORY + " AS memory_id, version, " + ", ".join(f"CAST(coalesce(len(regexp_split_to_array({_LINE.format(c)}, ',\\s*')), 0) AS INTEGER) AS n_{c.lower()}" for c in ("Entities", "Relations", "Keywords")) + " FROM raw_erk_view",
     "text_representations": f"""WITH r AS (SELECT {_RAW} AS raw, {_LINE.format("Entities")} AS f0, {_LINE.format("Relations")} AS f1, {_LINE.format("Keywords")} AS f2, strftime(make_timestamp(CAST(floor(updated_at) AS BIGINT) * 1000000), '%Y-%m-%d') AS f3 FROM raw_erk_view),

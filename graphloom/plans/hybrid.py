@@ -119,11 +119,6 @@ def text_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", F.length("prompt").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-def trial_balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """100 evaluation items shared evenly among the categories."""
-    return G.balanced_sample(table(spark, sf, "heldout_items"), "item_id", "category", 100)
-
-
 FEED_FILES, FILES_A_BATCH = 8, 2
 
 
@@ -167,7 +162,7 @@ def feed_search_index(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (memory_signals, memory_salience, rank_graph_native, rank_selective, rank_hybrid, eval_recall_depths, eval_outcomes, eval_graph_coverage, eval_rerank_grid, eval_alignment, text_prompts, trial_balanced_sample, feed_stream, feed_in_order, feed_search_index)
+    for f in (memory_signals, memory_salience, rank_graph_native, rank_selective, rank_hybrid, eval_recall_depths, eval_outcomes, eval_graph_coverage, eval_rerank_grid, eval_alignment, text_prompts, feed_stream, feed_in_order, feed_search_index)
 }
 
 
@@ -253,9 +248,6 @@ ev AS (SELECT r.query_id, string_agg('[' || r.rank || '] ' || coalesce(m.text, '
 p AS (SELECT q.query_id, 'Answer the question using only the evidence below.' || chr(10) || 'If the evidence does not contain the answer, respond exactly with ''Cannot answer''.' || chr(10) || 'Return only the shortest answer. Do not explain.' || chr(10) || chr(10) || 'Evidence:' || chr(10)
   || coalesce(ev.e, '') || chr(10) || chr(10) || 'Question: ' || coalesce(q.text, '') || chr(10) || 'Answer:' AS prompt FROM qraw q LEFT JOIN ev ON ev.query_id = q.query_id)
 SELECT query_id, CAST(length(prompt) AS INTEGER) AS n_chars, sha256(prompt) AS prompt_sha256 FROM p""",
-    "trial_balanced_sample": """WITH c AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT category FROM heldout_items)),
-r AS (SELECT item_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || item_id), item_id) AS r FROM heldout_items)
-SELECT item_id, category FROM r JOIN c USING (category) WHERE r <= 100 // k + CAST(i < 100 % k AS INTEGER)""",
     "feed_stream": training.SQL["p2_found"],
     "feed_in_order": training.SQL["p2_found"].replace("FROM materialized)", "FROM materialized WHERE sequence <= (SELECT min(sequence) FROM (SELECT 0 AS sequence UNION ALL SELECT sequence FROM materialized) WHERE sequence + 1 NOT IN (SELECT sequence FROM materialized WHERE sequence IS NOT NULL)))"),
     "feed_search_index": f"""

@@ -390,6 +390,13 @@ SQL = {
     "rank_graph_features": f"{_BASE},\n{_FEATURES}\nSELECT scope, doc_id, CAST(sum(is_entity) AS BIGINT) AS n_entity, CAST(sum(is_relation) AS BIGINT) AS n_relation, count(*) AS n_tokens FROM feat GROUP BY ALL",
     "rank_graph_scores": f"{_BASE},\n{_KG}\nSELECT * FROM {_top('kg', 10)}",
     "rank_graph_rerank": f"{_BASE},\n{_BM},\n{_KG},\n{_MIXED}\nSELECT * FROM {_top('mixed', 10)}",
+    "rank_graph_gated": f"""{_BASE},
+{_BM},
+{_KG},
+{_MIXED},
+best AS (SELECT query_id, max(score) FILTER (WHERE rank = 1) AS t, max(score) FILTER (WHERE rank = 1) - coalesce(max(score) FILTER (WHERE rank = 2), 0) AS g FROM base GROUP BY 1),
+sure AS (SELECT query_id FROM best WHERE t > (SELECT quantile_cont(t, 0.75) FROM best) AND g > (SELECT quantile_cont(g, 0.75) FROM best))
+SELECT query_id, rank, doc_id FROM base WHERE rank <= 10 AND query_id IN (FROM sure) UNION ALL SELECT query_id, rank, doc_id FROM {_top("mixed", 10)} WHERE query_id NOT IN (FROM sure)""",
     "rank_fusion_rrf": f"{_LISTS},\nscore AS (SELECT {_IDS}, coalesce(1 / (60.0::DOUBLE + a.rank), 0) + coalesce(1 / (60.0::DOUBLE + b.rank), 0) AS score FROM {_FULL})\nSELECT * FROM {_top('score', 10, 8)}",
     "rank_fusion_weighted": f"{_LISTS},\nscore AS (SELECT {_IDS}, 0.5::DOUBLE / (10 + coalesce(a.rank, 999)) + 0.5::DOUBLE / (10 + coalesce(b.rank, 999)) AS score FROM {_FULL})\nSELECT * FROM {_top('score', 10, 8)}",
     "rank_fusion_four": f"""{_LISTS},
@@ -422,6 +429,16 @@ SELECT count(*) AS n, count(*) FILTER (WHERE b1 > a1) AS rescue1, count(*) FILTE
   count(*) FILTER (WHERE rb > ra AND rb < 99) AS worsened, count(*) FILTER (WHERE ra = 99 AND rb < 99) AS newly_retrieved, count(*) FILTER (WHERE rb = 99 AND ra < 99) AS dropped FROM m""",
     "eval_overlap": f"{_BASE},\n{_BM},\n{_TF},\nla AS {_top('tscore', 10)},\nlb AS {_top('bscore', 10)}\nSELECT query_id, CAST(sum(both_) AS BIGINT) AS shared, round(sum(both_) / count(*), 6) AS jaccard FROM (SELECT {_IDS}, CAST(a.rank IS NOT NULL AND b.rank IS NOT NULL AS INTEGER) AS both_ FROM {_FULL}) GROUP BY query_id",
     "eval_scope_leaks": f"{_BASE},\n{_TFALL}\nSELECT split_part(query_id, '/', 1) AS graph_id, count(*) AS n_retrieved, CAST(sum(leak) AS BIGINT) AS n_leaks, round(avg(leak), 6) AS leak_share FROM (SELECT query_id, CAST(split_part(query_id, '/', 1) <> split_part(doc_id, '/', 1) AS INTEGER) AS leak FROM {_top('gscore', 10)}) GROUP BY 1",
+    "eval_bootstrap": f"""{_BASE},
+{_BM},
+{_TF},
+{_PB},
+{_PT},
+d AS (SELECT b.category, sum(b.rr - a.rr) AS s, count(*) AS n FROM pb b JOIN pt a ON a.query_id = b.query_id GROUP BY 1),
+r AS (SELECT s, n, rep, CAST('0x' || substr(md5('42:' || rep || ':' || coalesce('k' || category, 'n')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM d, (SELECT unnest(range(1000)) AS rep)),
+w AS (SELECT rep, sum(s * len(list_filter({list(V.POISSON)}::DOUBLE[], lambda x: u >= x))) / sum(n * len(list_filter({list(V.POISSON)}::DOUBLE[], lambda x: u >= x))) AS m FROM r GROUP BY rep HAVING sum(n * len(list_filter({list(V.POISSON)}::DOUBLE[], lambda x: u >= x))) > 0),
+o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r, count(*) OVER () AS k FROM w)
+SELECT (SELECT count(*) FROM d) AS n_groups, (SELECT round(sum(s) / sum(n), 6) FROM d) AS mean_diff, round(max(m) FILTER (WHERE r = floor(k * 0.025)), 6) AS low, round(max(m) FILTER (WHERE r = floor(k * 0.975)), 6) AS high FROM o""",
     "eval_leave_graph_out": f"{_BASE},\n{_BM},\n{_PB},\ng AS (SELECT category, sum(rr) AS gs, count(*) AS gn FROM pb GROUP BY 1), w AS (SELECT sum(rr) AS s, count(*) AS n FROM pb)\nSELECT category, round((s - gs) / nullif(n - gn, 0), 6) AS mean_without, round((s - gs) / nullif(n - gn, 0) - s / n, 6) AS delta FROM g, w",
     "eval_answers": f"""{_BASE},
 r AS (SELECT v.scope, v.doc_id AS id, {_STRICT.format(_RAW.format("v.text"))} AS ps, {_STRICT.format("m.text")} AS gs FROM views v JOIN mem m ON m.doc_id = v.doc_id),

@@ -81,28 +81,32 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_differences(spark, sf).where("kind not like 'repeated%'").select("memory_id", "field", "kind")
 
 
-def _orphans(spark: SparkSession, sf: str) -> DataFrame:
+def _references(spark: SparkSession, sf: str) -> tuple[list[orphans.References], DataFrame]:
     parent = F.struct(F.col("graph_id"), as_key("memory_id").alias("memory_id"))
     parent = F.when(as_key("memory_id").isNotNull(), parent)
     edges = table(spark, sf, "kg_edges_by_src").select(F.col("edge_id").alias("ref_key"), parent.alias("parent_key"), F.col("created_at").alias("at"))
     views = table(spark, sf, "raw_erk_view").select(as_key("memory_id").alias("ref_key"), parent.alias("parent_key"), F.timestamp_micros(F.round(F.col("updated_at") * 1_000_000).try_cast("bigint")).alias("at"))
     memories = table(spark, sf, "memory_by_id").select(parent.alias("parent_key"), "created_at", "deleted_at")
+    return [orphans.References("kg_edges_by_src", edges), orphans.References("raw_erk_view", views)], memories
+
+
+def _links(spark: SparkSession, sf: str) -> list[orphans.Link]:
+    """What hangs on the references: copies of edges, audits of views, and the other backend's audits of those."""
     copies = table(spark, sf, "kg_edges_by_relation_bucket").select(F.col("edge_id").alias("ref_key"), F.col("edge_id").alias("parent_ref_key"), F.col("created_at").alias("at"))
-    return orphans.find_orphans(
-        [orphans.References("kg_edges_by_src", edges), orphans.References("raw_erk_view", views)],
-        memories,
-        [orphans.Link("kg_edges_by_relation_bucket", "kg_edges_by_src", copies)],
-    )
+    audit = lambda name: table(spark, sf, name).select(as_key("memory_id").alias("ref_key"), as_key("memory_id").alias("parent_ref_key"), F.lit(None).cast("timestamp").alias("at"))
+    first, second = "p5_3c_cassandra_final_state_audit", "p5_3c_neo4j_final_state_audit"
+    return [orphans.Link("kg_edges_by_relation_bucket", "kg_edges_by_src", copies), orphans.Link(first, "raw_erk_view", audit(first)), orphans.Link(second, first, audit(second))]
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Each reference to a memory that is missing, deleted or later."""
-    return _orphans(spark, sf).where("origin = 'direct'").select("ref_table", "ref_key", "kind", "period").distinct()
+    """Each reference to a memory that is missing, deleted or later: the direct orphans, from which the cascade starts."""
+    return orphans.find_orphans(*_references(spark, sf)).select("ref_table", "ref_key", "kind", "period").distinct()
 
 
 def p5_orphans_by_period(spark: SparkSession, sf: str) -> DataFrame:
-    """Direct and inherited orphans for each table, kind and month; copies of an orphaned edge inherit its fate."""
-    return _orphans(spark, sf).groupBy("ref_table", "kind", "origin", "depth", "period").agg(F.count(F.lit(1)).alias("n_refs"))
+    """Direct and inherited orphans for each table, kind and month, down the foreign keys to the audits of audits of views."""
+    found = orphans.find_orphans(*_references(spark, sf), _links(spark, sf))
+    return found.groupBy("ref_table", "kind", "origin", "depth", "period").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
 QUERIES = {
@@ -170,7 +174,9 @@ j AS (SELECT ref_table, ref_key, CASE WHEN m.there IS NULL THEN 'missing' WHEN m
       strftime(make_timestamp(r.at), '%Y-%m') AS period FROM r LEFT JOIN m ON m.graph_id = r.graph_id AND m.k = r.k WHERE r.k IS NOT NULL),
 direct AS (SELECT DISTINCT * FROM j WHERE kind IS NOT NULL),
 inherited AS (SELECT DISTINCT 'kg_edges_by_relation_bucket' AS ref_table, b.edge_id AS ref_key, d.kind, strftime(make_timestamp(epoch_us(b.created_at)), '%Y-%m') AS period
-      FROM kg_edges_by_relation_bucket b JOIN direct d ON d.ref_table = 'kg_edges_by_src' AND d.ref_key = b.edge_id)"""
+      FROM kg_edges_by_relation_bucket b JOIN direct d ON d.ref_table = 'kg_edges_by_src' AND d.ref_key = b.edge_id),
+audited AS (SELECT DISTINCT {_key("memory_id")} AS ref_key, kind FROM p5_3c_cassandra_final_state_audit JOIN direct d ON d.ref_table = 'raw_erk_view' AND d.ref_key = {_key("memory_id")}),
+again AS (SELECT DISTINCT {_key("memory_id")} AS ref_key, kind FROM p5_3c_neo4j_final_state_audit JOIN audited d ON d.ref_key = {_key("memory_id")})"""
 
 SQL = {
     "p1_found": f"""
@@ -187,5 +193,7 @@ SELECT a.table_name, a.key_value FROM a JOIN t USING (table_name) WHERE key_valu
     "p5_found": _ORPHAN_SQL + " SELECT * FROM direct",
     "p5_orphans_by_period": _ORPHAN_SQL
     + """ SELECT ref_table, kind, 'direct' AS origin, 0 AS depth, period, count(*) AS n_refs FROM direct GROUP BY ALL
-UNION ALL SELECT ref_table, kind, 'inherited', 1, period, count(*) FROM inherited GROUP BY ALL""",
+UNION ALL SELECT ref_table, kind, 'inherited', 1, period, count(*) FROM inherited GROUP BY ALL
+UNION ALL SELECT 'p5_3c_cassandra_final_state_audit', kind, 'inherited', 1, NULL, count(*) FROM audited GROUP BY ALL
+UNION ALL SELECT 'p5_3c_neo4j_final_state_audit', kind, 'inherited', 2, NULL, count(*) FROM again GROUP BY ALL""",
 }

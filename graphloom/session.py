@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +56,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='graphloom-code-')}/graphloom-{context.applicationId}", "zip", package.parent, package.name)
+    folder = tempfile.mkdtemp(prefix="graphloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(f"{folder}/graphloom-{context.applicationId}", "zip", package.parent, package.name)
     # the driver's copy goes out by Spark's own file server
     context.addPyFile(archive)
     _shipped.add(context.applicationId)
@@ -72,9 +76,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release() -> None:
-    """Delete the intermediate tables of this program; results that still read them become unusable."""
-    while _written:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at its end the intermediate tables written inside; what has been read from them by then must be kept elsewhere."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(before)
+
+
+def release(keep: int = 0) -> None:
+    """Delete the intermediate tables of this program but for the first ``keep``; results that still read them become unusable."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm

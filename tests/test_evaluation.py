@@ -47,6 +47,24 @@ def test_percentile_definitions(spark):
         assert r.nearest == ordered[int(136 * p / 100 + 0.5)]
         assert got[("h", p)].linear == 7.0
     assert V.percentile_definitions(df.limit(0), ["g"], "v", [50]).collect() == []
+    whole = V.percentile_definitions(df, [], "v", [50], None).collect()
+    assert [(r.n, r.linear) for r in whole] == [(138, float(np.percentile([*values, 7.0], 50)))]
+
+
+def test_percentiles_of_a_group_spread_over_tasks(spark):
+    df = spark.range(5000).selectExpr("'g' g", "id + 0.5 v").repartition(7)
+    found = V.percentile_definitions(df, ["g"], "v", [99])
+    # the only window runs over counts of partitions
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert len(windows) == 1 and "part" in windows[0] and " g#" not in windows[0]
+    assert [(r.floor, r.n) for r in found.collect()] == [(4949.5, 5000)]
+
+
+def test_groups_are_split_whole(spark):
+    rows = spark.createDataFrame([(i, f"c{i % 7}" if i % 8 else None) for i in range(80)], "i int, c string")
+    split = {(r.c, r.part) for r in V.grouped_split(rows, "i", "c", 3).collect()}
+    assert len(split) == 8 and sum(part == "held_out" for _, part in split) == 3
+    assert V.grouped_split(rows.limit(0), "i", "c", 3).collect() == []
 
 
 def test_bootstrap(spark):
@@ -67,7 +85,7 @@ def test_effects_and_gates(spark):
     assert left == {0: 15.5, 1: 11.5}
     split = V.stratified_split(spark.createDataFrame([(i, i % 3) for i in range(50)] + [(99, 7)], "i int, c int"), "i", "c").collect()
     assert Counter((r.c, r.part) for r in split) == {(0, "dev"): 3, (0, "test"): 14, (1, "dev"): 3, (1, "test"): 14, (2, "dev"): 3, (2, "test"): 13, (7, "dev"): 1}
-    sample = G.balanced_sample(spark.createDataFrame([(i, i % 3) for i in range(50)], "i int, c int"), "i", "c", 10).collect()
+    sample = V.balanced_sample(spark.createDataFrame([(i, i % 3) for i in range(50)], "i int, c int"), "i", "c", 10).collect()
     assert Counter(r.c for r in sample) == {0: 4, 1: 3, 2: 3}
     a, b = (spark.createDataFrame([("m", x, 0.2)], "k string, r double, s double") for x in (0.5, 0.50001))
     assert {r.metric: r.passed for r in V.tolerance_gate(a, b, ["k"], ["r", "s"]).collect()} == {"r": True, "s": True}

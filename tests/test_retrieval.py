@@ -77,6 +77,25 @@ def test_dense_against_all_pairs(spark):
     assert sorted(got) == sorted(expected)
 
 
+def test_one_scope_spreads_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 16)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rng = np.random.default_rng(4)
+        vectors = rng.normal(size=(200, 4))
+        df = spark.createDataFrame([(i, v.tolist(), "all") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, scope string").repartition(5)
+        found = R.dense(df, df.where("vec_id % 50 = 0"), 3)
+        joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "slice" in line]
+        assert joins and all("scope" in line for line in joins)
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        for i in range(0, 200, 50):
+            order = sorted((-round(float(unit[i] @ unit[j]), 6), j) for j in range(200) if j != i)[:3]
+            assert [r.doc_id for r in found.where(F.col("query_id") == i).orderBy("rank").collect()] == [j for _, j in order]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def ranking(spark, lists):
     rows = [(q, r, d, float(s)) for q, docs in lists.items() for r, (d, s) in enumerate(docs, 1)]
     return spark.createDataFrame(rows, "query_id string, rank int, doc_id string, score double")

@@ -13,6 +13,14 @@ def test_written_tables_are_read_back_and_released(spark):
     assert folder.startswith(session.shared_folder(spark))
 
 
+def test_scratch_tables_go_at_the_end_of_their_block(spark):
+    outer = session.cut(spark.range(2), "outer")
+    with session.scratch():
+        inner = session.cut(spark.range(3), "inner").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(inner)
+    assert not os.path.exists(inner) and outer.count() == 2
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     class Conf:
         def get(self, name):
