@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.chunked_keys import number_rows
+
 IDENTITY = ["graph_id", "src_id", "relation", "dst_id", "source"]
 REQUIRED = IDENTITY[:4]
 
@@ -90,23 +92,67 @@ def neighbour_counts(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("graph_id", "entity").agg(F.count(F.lit(1)).alias("n_neighbours"))
 
 
-def write_layouts(edges: DataFrame, folder: str, buckets: int = 16) -> dict[str, str]:
-    """Write the four access paths of the edge store: by source, by destination, by relation bucket, by source and relation.
+# the four access paths of the edge store and their order
+LAYOUTS = {
+    "by_src": ["graph_id", "src_id", "relation", "dst_id"],
+    "by_dst": ["graph_id", "dst_id", "relation", "src_id"],
+    "by_relation_bucket": ["graph_id", "relation", "bucket", "src_id", "dst_id"],
+    "by_src_relation": ["graph_id", "src_id", "relation", "dst_id"],
+}
+
+
+def write_layouts(edges: DataFrame, folder: str, buckets: int = 16, only: list[str] | None = None) -> dict[str, str]:
+    """Write the access paths of the edge store: by source, by destination, by relation bucket, by source and relation.
 
     Each is distributed and sorted by its own key, so that a filter on the key
-    prunes row groups. Returns the folder of each layout.
+    prunes row groups. ``only`` names those wanted. Returns the folder of each
+    layout.
     """
-    layouts = {
-        "by_src": ["graph_id", "src_id", "relation", "dst_id"],
-        "by_dst": ["graph_id", "dst_id", "relation", "src_id"],
-        "by_relation_bucket": ["graph_id", "relation", "bucket", "src_id", "dst_id"],
-        "by_src_relation": ["graph_id", "src_id", "relation", "dst_id"],
-    }
     rows = edges.withColumn("bucket", md5_bucket(F.col("src_id"), buckets).cast("int"))
     paths = {}
-    for name, order in layouts.items():
+    for name in only or LAYOUTS:
+        order = LAYOUTS[name]
         frame = rows if name == "by_relation_bucket" else rows.drop("bucket")
         paths[name] = f"{folder}/{name}"
         # ranges split a hot source over several files where hashing would not
         frame.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(paths[name])
     return paths
+
+
+def validate_layouts(spark: SparkSession, edges: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """``(layout, n_rows, n_tested, n_found, amplification)``: whether each layout finds the edges again that were written.
+
+    Tested are the edges of every source whose number is divisible by 50, by
+    all their columns. ``amplification`` is how many rows are written for an
+    edge.
+    """
+    tested = edges.where(F.regexp_extract("src_id", r"(\d+)$", 1).try_cast("bigint") % 50 == 0).select(*IDENTITY).distinct()
+    rows = None
+    for name, path in paths.items():
+        layout = spark.read.parquet(path)
+        found = tested.join(layout.select(*IDENTITY), IDENTITY, "left_semi").agg(F.count(F.lit(1)).alias("n_found"))
+        part = layout.agg(F.count(F.lit(1)).alias("n_rows")).join(F.broadcast(found)).join(F.broadcast(tested.agg(F.count(F.lit(1)).alias("n_tested"))))
+        part = part.select(F.lit(name).alias("layout"), "n_rows", "n_tested", "n_found", F.lit(len(paths)).alias("amplification"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def read_relation(spark: SparkSession, path: str, seeds: DataFrame, relation: str) -> DataFrame:
+    """Edges of ``seeds(graph_id, src_id)`` with one relation from the layout by source and relation; the filter reaches the scan."""
+    return spark.read.parquet(path).where(F.col("relation") == relation).join(seeds, ["graph_id", "src_id"], "left_semi").select(*IDENTITY)
+
+
+def skewed_sequence(degrees: DataFrame, draws: int, hot_share: float = 0.05, seed: int = 42) -> DataFrame:
+    """``(draw, graph_id, src_id)``: a reproducible stream of seeds, four of five among the ``hot_share`` of sources with most edges.
+
+    Sources are numbered in order of degree over all partitions; a draw meets
+    its source by number.
+    """
+    order = F.concat_ws("\u0001", F.lpad((F.lit(2**62) - F.col("degree")).cast("string"), 20, "0"), "graph_id", "src_id")
+    numbered = number_rows(degrees, order, payload=["graph_id", "src_id"]).select("row", "graph_id", "src_id")
+    whole = degrees.agg(F.count(F.lit(1)).alias("_n"))
+    number = lambda start: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), start, 8), 16, 10).cast("bigint")
+    hot = F.greatest(F.lit(1), F.floor(F.col("_n") * hot_share))
+    spots = degrees.sparkSession.range(draws).join(F.broadcast(whole)).where("_n > 0")
+    spots = spots.select(F.col("id").alias("draw"), F.when(number(1) % 5 < 4, number(9) % hot).otherwise(number(9) % F.col("_n")).alias("row"))
+    return numbered.join(spots, "row").select("draw", "graph_id", "src_id")

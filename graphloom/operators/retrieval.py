@@ -169,29 +169,40 @@ def graph_features(edges: DataFrame) -> DataFrame:
     return entity.unionByName(relation).where("token is not null").groupBy("scope", "doc_id", "token").agg(F.max("e").alias("is_entity"), F.max("r").alias("is_relation"))
 
 
-# fixed values: weights of the query-graph score
-GRAPH_WEIGHTS = {"entity": 0.50, "relation": 0.20, "text": 0.15, "temporal": 0.10, "multi_entity": 0.05}
+# fixed values: the weights of the query-graph score under four configurations, of which B is the usual one
+GRAPH_CONFIGS = {
+    "config_A": {"entity": 0.40, "relation": 0.25, "text": 0.20, "temporal": 0.10, "multi_entity": 0.05},
+    "config_B": {"entity": 0.50, "relation": 0.20, "text": 0.15, "temporal": 0.10, "multi_entity": 0.05},
+    "config_C": {"entity": 0.30, "relation": 0.20, "text": 0.20, "temporal": 0.25, "multi_entity": 0.05},
+    "config_D": {"entity": 0.35, "relation": 0.30, "text": 0.15, "temporal": 0.10, "multi_entity": 0.10},
+}
+GRAPH_WEIGHTS = GRAPH_CONFIGS["config_B"]
 
 
-def graph_scores(features: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """How well the edges of a memory answer a query, 0 to 1: ``(scope, query_id, doc_id, kg_score)`` of memories that share a token.
+def graph_shares(features: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(scope, query_id, doc_id, entity, relation, text, temporal, multi_entity)`` of memories that share a token with a query.
 
     Shares of the query's distinct tokens found among the memory's entity,
-    relation and all tokens, a match of temporal words, and a bonus for two
-    entities, weighted.
+    relation and all tokens, whether both are temporal, and whether they share
+    two entities (1 or 0).
     """
-    w = weights or GRAPH_WEIGHTS
     rows = queries.select("scope", "query_id", F.array_distinct(X.tokens(F.col("text"))).alias("_t"))
     rows = rows.select("scope", "query_id", F.size("_t").alias("n"), X.is_temporal(F.col("_t")).alias("temporal"), F.size(F.filter("_t", X.is_entity_like)).alias("entities"), F.explode("_t").alias("token"))
     temporal = features.where(F.col("token").isin(*X.TEMPORAL_WORDS)).select("scope", "doc_id").distinct().withColumn("_timed", F.lit(True))
     met = salted_join(features, rows, ["scope", "token"], "doc_id", "inner").groupBy("scope", "query_id", "doc_id", "n", "temporal", "entities")
     met = met.agg(F.sum("is_entity").alias("e"), F.sum("is_relation").alias("r"), F.count(F.lit(1)).alias("a"), F.sum(F.when(X.is_entity_like(F.col("token")), F.col("is_entity")).otherwise(0)).alias("ee"))
     met = met.join(temporal, ["scope", "doc_id"], "left")
-    score = (
-        w["entity"] * F.col("e") / F.col("n")
-        + w["relation"] * F.col("r") / F.col("n")
-        + w["text"] * F.col("a") / F.col("n")
-        + F.when(F.col("temporal") & F.col("_timed"), w["temporal"]).otherwise(0.0)
-        + F.when((F.col("entities") >= 2) & (F.col("ee") >= 2), w["multi_entity"]).otherwise(0.0)
-    )
-    return met.select("scope", "query_id", "doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("kg_score"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    share = lambda c: F.col(c) / F.col("n")
+    return met.select("scope", "query_id", "doc_id", share("e").alias("entity"), share("r").alias("relation"), share("a").alias("text"), flag(F.col("temporal") & F.col("_timed")).alias("temporal"), flag((F.col("entities") >= 2) & (F.col("ee") >= 2)).alias("multi_entity"))
+
+
+def graph_score(weights: dict[str, float]) -> Column:
+    """The weighted sum of the shares, between 0 and 1."""
+    parts = [F.lit(weights[name]) * F.col(name) for name in ("entity", "relation", "text", "temporal", "multi_entity")]
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum(parts[1:], parts[0])))
+
+
+def graph_scores(features: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """How well the edges of a memory answer a query, 0 to 1: ``(scope, query_id, doc_id, kg_score)`` of memories that share a token."""
+    return graph_shares(features, queries).select("scope", "query_id", "doc_id", graph_score(weights or GRAPH_WEIGHTS).alias("kg_score"))

@@ -46,11 +46,11 @@ def feed_stage_latency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _started() -> Column:
-    return F.timestamp_micros(F.floor(F.col("processing_started_ns") / 1000).cast("bigint"))
+    return F.timestamp_micros(F.expr("processing_started_ns div 1000"))
 
 
 def _backlog(spark: SparkSession, sf: str, width: str, span: str | None = None) -> DataFrame:
-    done = F.timestamp_micros((F.floor(F.col("processing_started_ns") / 1000) + F.round(F.col("update_to_searchable_ms") * 1000)).cast("bigint"))
+    done = F.timestamp_micros(F.expr("processing_started_ns div 1000") + F.round(F.col("update_to_searchable_ms") * 1000).cast("bigint"))
     rows = D.backlog(table(spark, sf, "materialized"), "graph_id", _started(), done, width, span)
     return rows.select("graph_id", F.unix_seconds("bucket").alias("bucket"), "produced", "applied", "backlog")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import feeds, graph, hybrid, retrieval, training
+from graphloom.plans import evidence, feeds, graph, hybrid, readers, retrieval, training
 
-MODULES = [feeds, graph, hybrid, retrieval, training]
+MODULES = [evidence, feeds, graph, hybrid, readers, retrieval, training]
 
 
 def queries() -> dict:

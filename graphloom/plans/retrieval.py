@@ -109,6 +109,11 @@ def rank_dense_scoped(spark: SparkSession, sf: str) -> DataFrame:
     return R.dense(*_vectors(spark, sf, F.col("label").cast("string")), 10)
 
 
+def rank_dense_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 nearest vectors of the same label."""
+    return R.dense(*_vectors(spark, sf, F.col("label").cast("string")), DEPTH)
+
+
 def rank_graph_boost(spark: SparkSession, sf: str) -> DataFrame:
     """TF-IDF with 0.25 for memories that have edges."""
     return R.top_k(U.boosted(_tfidf(spark, sf), _edges(spark, sf), 0.25), 10)
