@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import cut
@@ -52,11 +52,12 @@ def _hop(frontier: DataFrame, steps: DataFrame, fanout: int, cycle_first: bool,
         F.concat("node_path", F.array("dst_id")).alias("node_path"),
         F.concat("edge_path", F.array("edge_id")).alias("edge_path"),
         F.concat("relation_path", F.array("relation")).alias("relation_path"),
+        F.concat("source_path", F.array(F.coalesce("source", F.lit("")))).alias("source_path"),
     )
 
 
 def traverse_levels(seeds: DataFrame, edges: DataFrame, relations: list[str], fanout: int, cycle_first: bool = True, cycles: str = "path") -> list[DataFrame]:
-    """The frontiers after each hop: ``(query_id, graph_id, node, node_path, edge_path, relation_path)``.
+    """The frontiers after each hop: ``(query_id, graph_id, node, node_path, edge_path, relation_path, source_path)``.
 
     ``seeds(query_id, graph_id, seed_id)``; ``edges(graph_id, src_id,
     relation, dst_id, source, edge_id)`` with one row for each logical edge;
@@ -71,7 +72,7 @@ def traverse_levels(seeds: DataFrame, edges: DataFrame, relations: list[str], fa
     if fanout < 1 or not relations:
         raise ValueError("a traversal has at least one hop and a fanout of at least 1")
     empty = F.array().cast("array<string>")
-    frontier = seeds.select("query_id", "graph_id", F.col("seed_id").alias("node"), F.array("seed_id").alias("node_path"), empty.alias("edge_path"), empty.alias("relation_path"))
+    frontier = seeds.select("query_id", "graph_id", F.col("seed_id").alias("node"), F.array("seed_id").alias("node_path"), empty.alias("edge_path"), empty.alias("relation_path"), empty.alias("source_path"))
     levels = []
     for hop, relation in enumerate(relations, 1):
         steps = _steps(frontier, edges, relation, fanout, len(relations))
@@ -123,7 +124,38 @@ def closure(seeds: DataFrame, levels: list[DataFrame], edges: DataFrame) -> Data
     return edges.join(visited.distinct(), ["graph_id", "src_id"], "left_semi").distinct()
 
 
-def path_hashes(paths: DataFrame) -> DataFrame:
-    """For each query how many paths it has and the SHA-256 of their sorted list."""
-    texts = paths.groupBy("query_id", "graph_id").agg(F.array_sort(F.collect_set(F.array_join("edge_path", ","))).alias("_p"))
-    return texts.select("query_id", "graph_id", F.size("_p").cast("bigint").alias("n_paths"), F.sha2(F.array_join("_p", "\n"), 256).alias("path_hash"))
+def path_identity(form: str) -> Column:
+    """The text by which a path of :func:`traverse_levels` is told apart from others.
+
+    ``edges``: its edges' ids; ``triples``: each hop as source, relation and
+    destination, so that parallel edges are one; ``sources``: the sources of
+    its edges only.
+    """
+    if form == "edges":
+        return F.array_join("edge_path", ",")
+    if form == "sources":
+        return F.array_join("source_path", ",")
+    if form != "triples":
+        raise ValueError(f"unknown form of path: {form}")
+    n = F.size("relation_path")
+    hops = F.zip_with(F.slice("node_path", 1, n), F.zip_with("relation_path", F.slice("node_path", 2, n), lambda r, d: F.concat(r, F.lit("|"), d)), lambda s, rest: F.concat(s, F.lit("|"), rest))
+    return F.array_join(hops, ",")
+
+
+def path_hashes(paths: DataFrame, digits: int = 64, as_json: bool = False) -> DataFrame:
+    """For each query how many paths it has and the SHA-256 of their sorted list, or its first ``digits``.
+
+    ``as_json`` hashes the JSON array of arrays of edge ids, with a blank after
+    each comma, instead of lines. A query's paths are bounded by the fanout.
+    """
+    path = F.concat(F.lit('["'), F.array_join("edge_path", '", "'), F.lit('"]')) if as_json else F.array_join("edge_path", ",")
+    texts = paths.groupBy("query_id", "graph_id").agg(F.array_sort(F.collect_set(path)).alias("_p"))
+    whole = F.concat(F.lit("["), F.array_join("_p", ", "), F.lit("]")) if as_json else F.array_join("_p", "\n")
+    return texts.select("query_id", "graph_id", F.size("_p").cast("bigint").alias("n_paths"), F.substring(F.sha2(whole, 256), 1, digits).alias("path_hash"))
+
+
+def manifest(seeds: DataFrame, edges: DataFrame, relations: list[str], fanout: int) -> DataFrame:
+    """Queries with what they must return, for every seed that has any path: seed, relation path, hops, fanout, expected number and hash of paths."""
+    expected = path_hashes(traverse(seeds, edges, relations, fanout))
+    rows = seeds.join(expected, ["query_id", "graph_id"])
+    return rows.select("query_id", "graph_id", "seed_id", F.array(*map(F.lit, relations)).alias("relation_path"), F.lit(len(relations)).alias("hop"), F.lit(fanout).alias("fanout"), F.lit("path").alias("cycle_policy"), F.col("n_paths").alias("expected_path_count"), F.col("path_hash").alias("expected_path_hash"))

@@ -154,6 +154,32 @@ def graph_path_hash(spark: SparkSession, sf: str) -> DataFrame:
     return T.path_hashes(T.traverse(*_trade(spark, sf), TRADE_PATH, 3))
 
 
+def graph_path_hash_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over JSON, its first 16 digits."""
+    return T.path_hashes(T.traverse(*_trade(spark, sf), TRADE_PATH, 3), 16, as_json=True)
+
+
+def _told_apart(spark: SparkSession, sf: str, form: str) -> DataFrame:
+    levels = T.traverse_levels(*_kg(spark, sf), ["*", "*"], 4, cycle_first=False)
+    return levels[-1].select("query_id", "graph_id", T.path_identity(form).alias("path")).distinct()
+
+
+def graph_two_hop_triples(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-hop paths told apart by their triples."""
+    return _told_apart(spark, sf, "triples")
+
+
+def graph_two_hop_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-hop paths told apart by their sources only."""
+    return _told_apart(spark, sf, "sources")
+
+
+def graph_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest of three-hop queries over the trade graph with the number and hash of their paths."""
+    rows = T.manifest(*_trade(spark, sf), TRADE_PATH, 3)
+    return rows.withColumn("relation_path", F.array_join("relation_path", ","))
+
+
 def graph_path_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Least, median, 95th percentile and greatest number of paths of a query, 0 for queries without any."""
     seeds, edges = _trade(spark, sf)
@@ -194,6 +220,10 @@ QUERIES = {
         graph_depth_profile,
         graph_closure,
         graph_path_hash,
+        graph_path_hash_json,
+        graph_two_hop_triples,
+        graph_two_hop_sources,
+        graph_manifest,
         graph_path_stats,
         graph_relation_paths,
     )
@@ -237,15 +267,15 @@ seeds AS (SELECT 'customer:' || c_custkey AS query_id, 'trade' AS graph_id, 'cus
 
 def _levels_sql(graph: str, relations: list[str], fanout: int, cycle_first: bool = True, cycles: str = "path") -> str:
     """CTEs l0 to lN; lN holds the states after hop N."""
-    out = "WITH " + graph + ",\nl0 AS (SELECT query_id, graph_id, seed_id AS node, [seed_id] AS node_path, CAST([] AS VARCHAR[]) AS edge_path, CAST([] AS VARCHAR[]) AS relation_path FROM seeds)"
+    out = "WITH " + graph + ",\nl0 AS (SELECT query_id, graph_id, seed_id AS node, [seed_id] AS node_path, CAST([] AS VARCHAR[]) AS edge_path, CAST([] AS VARCHAR[]) AS relation_path, CAST([] AS VARCHAR[]) AS source_path FROM seeds)"
     for hop, relation in enumerate(relations, 1):
         fresh = "NOT list_contains(l.node_path, e.dst_id)" if cycles == "path" else "true"
         wanted = "true" if relation == T.ANY else f"e.relation = '{relation}'"
-        inner = f"""SELECT l.*, e.relation, e.dst_id, e.edge_id, {fresh} AS fresh,
+        inner = f"""SELECT l.*, e.relation, e.dst_id, e.edge_id, e.source, {fresh} AS fresh,
   row_number() OVER (PARTITION BY l.query_id, l.graph_id, l.edge_path ORDER BY e.relation, e.dst_id, e.source, e.edge_id) AS n
   FROM l{hop - 1} l JOIN edges e ON e.graph_id = l.graph_id AND e.src_id = l.node WHERE {wanted}{' AND ' + fresh if cycle_first else ''}"""
         out += f""",
-l{hop} AS (SELECT query_id, graph_id, dst_id AS node, list_append(node_path, dst_id) AS node_path, list_append(edge_path, edge_id) AS edge_path, list_append(relation_path, relation) AS relation_path
+l{hop} AS (SELECT query_id, graph_id, dst_id AS node, list_append(node_path, dst_id) AS node_path, list_append(edge_path, edge_id) AS edge_path, list_append(relation_path, relation) AS relation_path, list_append(source_path, source) AS source_path
  FROM ({inner}) WHERE n <= {fanout} AND fresh)"""
     return out + "\n"
 
@@ -304,6 +334,11 @@ SELECT coalesce(a.graph_id, r.graph_id) AS graph_id, count(*) FILTER (WHERE r.lo
     "graph_closure": _levels_sql(_KG, KG_PATH, 5)
     + "SELECT e.graph_id, e.relation, count(*) AS n_edges FROM edges e WHERE EXISTS (SELECT 1 FROM (SELECT graph_id, node FROM l0 UNION SELECT graph_id, node FROM l1) v WHERE v.graph_id = e.graph_id AND v.node = e.src_id) GROUP BY ALL",
     "graph_path_hash": _TRADE_LEVELS + _HASHED,
+    "graph_path_hash_json": _TRADE_LEVELS
+    + "SELECT query_id, graph_id, count(*) AS n_paths, substr(sha256('[' || string_agg(p, ', ' ORDER BY p) || ']'), 1, 16) AS path_hash FROM (SELECT DISTINCT query_id, graph_id, '[\"' || array_to_string(edge_path, '\", \"') || '\"]' AS p FROM l3) GROUP BY query_id, graph_id",
+    "graph_two_hop_triples": _levels_sql(_KG, ["*", "*"], 4, cycle_first=False) + "SELECT DISTINCT query_id, graph_id, node_path[1] || '|' || relation_path[1] || '|' || node_path[2] || ',' || node_path[2] || '|' || relation_path[2] || '|' || node_path[3] AS path FROM l2",
+    "graph_two_hop_sources": _levels_sql(_KG, ["*", "*"], 4, cycle_first=False) + "SELECT DISTINCT query_id, graph_id, array_to_string(source_path, ',') AS path FROM l2",
+    "graph_manifest": _TRADE_LEVELS + f"SELECT s.query_id, s.graph_id, s.seed_id, '{','.join(TRADE_PATH)}' AS relation_path, {len(TRADE_PATH)} AS hop, 3 AS fanout, 'path' AS cycle_policy, h.n_paths AS expected_path_count, h.path_hash AS expected_path_hash FROM seeds s JOIN ({_HASHED}) h ON h.query_id = s.query_id AND h.graph_id = s.graph_id",
     "graph_path_stats": _TRADE_LEVELS
     + f"""SELECT count(*) AS n_queries, min(n) AS min_paths, quantile_cont(n, 0.5) AS p50_paths, quantile_cont(n, 0.95) AS p95_paths, max(n) AS max_paths
 FROM (SELECT coalesce(h.n_paths, 0) AS n FROM seeds s LEFT JOIN ({_HASHED}) h ON h.query_id = s.query_id)""",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.chunked_keys import number_rows
 from graphloom.operators.edges import IDENTITY, REQUIRED, trimmed
 
 # fixed values: the names under which edge files carry a column
@@ -86,6 +90,42 @@ def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0)))
 
 
+def read_vectors(spark: SparkSession, vectors: str, ids: str, vector: str = "embedding") -> DataFrame:
+    """``(id, vector)`` of unit length: a Parquet file of vectors with ``position`` and a text file with one id a line.
+
+    The first line is the id at position 0. As many ids as vectors are
+    required, no position twice; otherwise the files are refused.
+    """
+    names = spark.read.text(ids).select(F.monotonically_increasing_id().alias("_at"), F.trim("value").alias("id")).where("id <> ''")
+    numbered = number_rows(names, F.lit("ids"), F.col("_at"), payload=["id"]).select(F.col("row").alias("position"), "id")
+    held = spark.read.parquet(vectors).select(F.col("position").cast("bigint").alias("position"), vector)
+    counts = held.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("d")).collect()[0]
+    both = numbered.join(held, "position")
+    if not counts.n == counts.d == numbered.count() == both.count():
+        raise ValueError(f"{ids} and {vectors} do not hold the same positions")
+    return unit_vectors(both.select("id", vector), vector)
+
+
+def write_canonical(edges: DataFrame, path: str) -> None:
+    """Logical edges with their portable id as CSV, copies and other columns left out."""
+    write_csv(edges, path, [*IDENTITY, "logical_edge_id"])
+
+
+def write_json(spark: SparkSession, path: str, value: object) -> str:
+    """One small JSON document in its final place in one step; returns its SHA-256."""
+    text = json.dumps(value, sort_keys=True, ensure_ascii=False).encode()
+    jvm = spark.sparkContext._jvm
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = files.create(draft, True)
+    stream.write(bytearray(text))
+    stream.close()
+    files.delete(target, False)
+    if not files.rename(draft, target):
+        raise OSError(f"could not write {path}")
+    return hashlib.sha256(text).hexdigest()
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "overwrite") -> None:
     """The named columns with a header; ``mode`` append adds files."""
     df.select(*columns).write.mode(mode).csv(path, header=True, escape='"')

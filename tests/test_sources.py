@@ -68,3 +68,15 @@ def test_logical_id_is_that_of_the_json_array(spark):
     df = spark.createDataFrame([values], "graph_id string, src_id string, relation string, dst_id string, source string")
     expected = "L" + hashlib.sha1(json.dumps(["g", 'a"\\b', "né 中", "d/x", ""], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()[:24]
     assert canonical_edges(df).collect()[0].logical_edge_id == expected
+
+
+def test_vectors_with_ids_and_json(spark, tmp_path):
+    (tmp_path / "ids.txt").write_text("b\na\n")
+    spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0])], "position int, embedding array<double>").write.parquet(str(tmp_path / "v"))
+    got = {r.id: r.embedding for r in files.read_vectors(spark, str(tmp_path / "v"), str(tmp_path / "ids.txt")).collect()}
+    assert got == {"b": [0.6, 0.8], "a": [0.0, 0.0]}
+    (tmp_path / "more.txt").write_text("b\na\nc\n")
+    with pytest.raises(ValueError):
+        files.read_vectors(spark, str(tmp_path / "v"), str(tmp_path / "more.txt"))
+    digest = files.write_json(spark, str(tmp_path / "x.json"), {"b": 1, "a": "é"})
+    assert (tmp_path / "x.json").read_text() == '{"a": "é", "b": 1}' and len(digest) == 64 and not (tmp_path / "x.json.draft").exists()
