@@ -16,11 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import as_key
+from graphloom.llm import languages as L
 from graphloom.llm import words as W
 from graphloom.session import cut
 
@@ -32,31 +34,34 @@ MAX_SENTENCES = 24
 BUCKETS = 1 << 13
 GRAM = 4
 PENALTY = 1e-3
+#: The bounded sample is fitted in so many partitions, as each iteration is a job over them.
+FIT_PARTITIONS = 4
 
-# fixed values: frequent function words of the languages told apart
-FUNCTION_WORDS = {
-    "en": "the a an of to and in that it was is for on with as at by from be been had has have not but or nor which they we he she his her my our this these those said because then than when whose who whom what while would could should will can did do does are were there their its into under over after before until since once more most every each both neither either nobody any such so if i you your me him them".split(),
-    "de": "der die das und ist nicht ein eine einen einem einer wir ich sie er es mit von zu zur zum im den dem des auf für war waren hat haben wurde wollte nach noch über oder aber auch als wie deshalb davon lange mag gestern".split(),
-    "es": "el la los las un una de del y que en no se con por para su al lo le es era fue hay como más pero ayer sobre después quiso otra estaban eso junto gustan vez".split(),
-}
-
-_PAIRS = re.compile(r"\S=\S.*\S=\S")
-_DATED = re.compile(r"\d{4}-\d\d-\d\d[t ]\d")
-_CELLS = re.compile(r"[,;|\t]")
+# what only machines write inside a token, or a number with letters; and what a line of mere words never has
+_ODD = re.compile(r"[0-9=_/\\@|<>{}\[\]#~^+*]|\w[:;,]\w|--|\":")
+_MACHINE = re.compile(r"[=_/\\@|<>{}~^+*#]|[^\W\d][:;,]\w|\w[:;,][^\W\d]|--|\":|\d[^\s\d]*[^\W\d_]|[^\W\d_][^\s\d]*\d|\d[-:]\d|\d[.,]\d.*[.,:;]\d")
+_PLAIN = re.compile(r"[(\"'“‘«\[]*[^\W\d_]+(?:['’\-.][^\W\d_]+)*[)\"'”’»\].,;:!?…]*")
 _LEAD = re.compile(r"(?:[>|\s]|[-*•+–](?=\s)|\d{1,3}[.)](?=\s)|\[\d{1,2}:\d{2}(?::\d{2})?\])+")
 _SPEAKER = re.compile(r"[^\W\d_]{2,30}:\s+")
 _END = re.compile(r"[.!?。！？]+\s+")
 
 
 def _is_prose(line: str) -> bool:
-    """Whether a folded line without outer spaces is running text: no heading, log entry, table row, triple or address."""
-    if line[0] == "#" or line[0] == "|" and line[-1] == "|" or "->" in line:
+    """Whether a line is running text, by its tokens.
+
+    At least half of them are words as people write them, and at most a fifth
+    are such as machines write (assignments, paths, identifiers, stamps,
+    cells). Headings are no running text.
+    """
+    if line[0] == "#":
         return False
-    if "=" in line and _PAIRS.search(line) or line[0].isdigit() and _DATED.match(line):
+    if not _ODD.search(line):
+        return True
+    tokens = line.split()
+    machine = sum(_MACHINE.search(t) is not None for t in tokens)
+    if 5 * machine > len(tokens):
         return False
-    if " " not in line:
-        return len(_CELLS.findall(line)) < 2 and "://" not in line
-    return not ("://" in line and line.count(" ") == 1)
+    return 2 * sum(_PLAIN.fullmatch(t) is not None for t in tokens) > len(tokens)
 
 
 def prose_sentences(text: str) -> list[str]:
@@ -64,26 +69,18 @@ def prose_sentences(text: str) -> list[str]:
     out: list[str] = []
     for line in W.fold(W.plain(text)).split("\n"):
         line = line.strip()
-        if not line or not _is_prose(line):
+        if not line:
             continue
-        if not line[0].isalpha() and (lead := _LEAD.match(line)):
+        # a row of a table keeps its bars, by which it is known
+        if not line[0].isalpha() and not (line[0] == line[-1] == "|") and (lead := _LEAD.match(line)):
             line = line[lead.end() :]
         if ":" in line[:32] and (speaker := _SPEAKER.match(line)):
             line = line[speaker.end() :]
-        if line:
+        if line and _is_prose(line):
             out += _END.split(line)
     return out
 
 
-def _language_table() -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of function words and, for each, which languages have it."""
-    tokens = sorted({w for ws in FUNCTION_WORDS.values() for w in ws})
-    hashes, _ = W.words([" ".join(tokens)])
-    member = np.array([[w in set(ws) for ws in FUNCTION_WORDS.values()] for w in tokens], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], member[order]
-
-
 @dataclass
 class _Sentences:
     """Sentences of a block as arrays."""
@@ -97,22 +94,18 @@ class _Sentences:
     foreign: np.ndarray
 
 
-def _analyse(sentences: list[str], table: tuple[np.ndarray, np.ndarray]) -> _Sentences:
+def _analyse(sentences: list[str], texts: np.ndarray) -> _Sentences:
+    """``texts`` is the number of each sentence's text."""
     codes = W.code_points(sentences)
     hashes, owner = W.words(sentences, codes)
     n = len(sentences)
     counts = np.bincount(owner, minlength=n)
-    known, member = table
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    hit = known[at] == hashes
-    votes = np.stack([np.bincount(owner[hit], member[at[hit], k], n) for k in range(member.shape[1])], 1)
     kinds = W._kinds()[np.minimum(codes, 0x31FFF)]
     line = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(codes == 10, out=line[1:])
     spaceless = np.bincount(line[:-1][kinds == 2], minlength=n + 1)[:n]
-    best = votes[:, 1:].max(1)
-    english = (votes[:, 0] > best) & (votes[:, 0] >= 0.08 * counts) & (spaceless * 2 < counts)
-    foreign = ~english & ((best >= votes[:, 0]) & (best > 0) | (spaceless * 2 >= counts) & (spaceless > 0))
+    english = L.english(codes, hashes, owner, spaceless, texts)
+    foreign = ~english & (counts > 0)
     # characters other than letters and digits are alike to the character model
     flat = np.where(kinds > 0, codes, np.where(codes == 10, 10, 32)).astype(np.uint64)
     m = max(0, len(flat) - GRAM + 1)
@@ -156,7 +149,6 @@ def _training_sentences(documents: DataFrame, chosen: DataFrame, limit: int) ->
     """Features of English sentences of the chosen documents: ``(level, word_index, word_value, gram_index, gram_value)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _language_table()
         for batch in batches:
             rows: list[tuple] = []
             for level, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -165,7 +157,7 @@ def _training_sentences(documents: DataFrame, chosen: DataFrame, limit: int) ->
                     continue
                 spread = np.unique(np.linspace(0, len(sentences) - 1, min(limit, len(sentences))).astype(int))
                 sentences = [sentences[i] for i in spread]
-                found = _analyse(sentences, table)
+                found = _analyse(sentences, np.zeros(len(sentences), np.int64))
                 for i in np.flatnonzero(found.english & (found.words >= 4)).tolist():
                     parts = []
                     for bucket, owner in ((found.word_bucket, found.word_owner), (found.gram_bucket, found.gram_owner)):
@@ -193,7 +185,7 @@ def _fit(rows: DataFrame, index: str, value: str) -> tuple[np.ndarray, np.ndarra
         bias[given[0]] = 0.0
         return weights, bias
     vector = F.udf(lambda i, v: SparseVector(BUCKETS, i, v), VectorUDT())  # on the bounded sample only
-    model = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=30, standardization=False, labelCol="level").fit(rows.select(F.col("level").cast("double"), vector(index, value).alias("features")))
+    model = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=30, standardization=False, labelCol="level").fit(rows.coalesce(FIT_PARTITIONS).select(F.col("level").cast("double"), vector(index, value).alias("features")))
     found = model.coefficientMatrix.toArray()
     weights[: len(found)], bias[: len(found)] = found, model.interceptVector.toArray()
     return weights, bias
@@ -205,7 +197,6 @@ def score_documents(documents: DataFrame, weights: list[tuple[np.ndarray, np.nda
     names = ["doc_id", "prose_words", "other_words", *LEVELS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _language_table()
         word_model, gram_model = shared.value
         for batch in batches:
             all_ids = batch.column(0)
@@ -215,7 +206,7 @@ def score_documents(documents: DataFrame, weights: list[tuple[np.ndarray, np.nda
                 sums = np.zeros((len(LEVELS), len(block)))
                 prose = other = np.zeros(len(block))
                 if len(doc):
-                    found = _analyse([s for ss in split for s in ss], table)
+                    found = _analyse([s for ss in split for s in ss], doc)
                     n = len(doc)
                     logits = _scores(found.word_bucket, found.word_owner, n, *word_model) + _scores(found.gram_bucket, found.gram_owner, n, *gram_model)
                     share = np.exp(logits - logits.max(1, keepdims=True))
@@ -234,6 +225,8 @@ def score_documents(documents: DataFrame, weights: list[tuple[np.ndarray, np.nda
 def reading_levels(documents: DataFrame, ratings: DataFrame, min_words: int = MIN_WORDS, max_labelled: int = MAX_LABELLED, max_sentences: int = MAX_SENTENCES) -> DataFrame:
     """``(doc_id, level, prose_words, *LEVELS)`` for documents mainly in English with ``min_words`` words of prose.
 
+    ``LEVELS`` are the calibrated shares, of which the greatest is the level.
+
     ``documents(doc_id, text)``, ``ratings(doc_id, rater_id, level)``; further
     columns are ignored. Every document is scored over its whole text; only the
     fitting uses a sample (``max_labelled`` documents, ``max_sentences`` of
@@ -252,14 +245,18 @@ def reading_levels(documents: DataFrame, ratings: DataFrame, min_words: int = MI
     weights = [_fit(sample, "word_index", "word_value"), _fit(sample, "gram_index", "gram_value")]
     scored = cut(score_documents(documents, weights), "levels")
     scored = scored.where((F.col("prose_words") >= min_words) & (F.col("prose_words") > F.col("other_words")))
-    vector = F.udf(lambda *x: Vectors.dense(x), VectorUDT())
     seen = scored.join(F.broadcast(chosen.where("fold = 1")), "doc_id").select(F.col("level").cast("double").alias("level"), *LEVELS)
     seen = cut(seen, "calibration")
     best = F.array(*LEVELS)
     if len(_given(seen)) > 1:
-        fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=50, labelCol="level").fit(seen.select("level", vector(*LEVELS).alias("features")))
+        fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=50, labelCol="level").fit(seen.coalesce(1).select("level", array_to_vector(F.array(*LEVELS)).alias("features")))
         matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
-        best = F.array(*[sum((F.col(name) * float(w) for name, w in zip(LEVELS, row)), F.lit(float(b))) for row, b in zip(matrix, bias)])
+        logits = [sum((F.col(name) * float(w) for name, w in zip(LEVELS, row)), F.lit(float(b))) for row, b in zip(matrix, bias)]
+        # a level that no seen document has gets none of the calibrated share
+        logits += [F.lit(-1e9)] * (len(LEVELS) - len(logits))
+        raised = [F.exp(x - F.greatest(*logits)) for x in logits]
+        whole = sum(raised[1:], raised[0])
+        scored = scored.select("doc_id", "prose_words", *[(x / whole).alias(name) for x, name in zip(raised, LEVELS)])
     names = F.array(*map(F.lit, LEVELS))
     level = names[F.array_position(best, F.array_max(best)).cast("int") - 1]
     return scored.select("doc_id", level.alias("level"), "prose_words", *LEVELS)

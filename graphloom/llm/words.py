@@ -124,13 +124,12 @@ def code_points(texts: list[str]) -> np.ndarray:
     return np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), "<u4")
 
 
-def words(texts: list[str], codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of folded texts without line feeds, in order, and the number of each word's text.
+def spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last place of each word.
 
     A word is a run of letters and digits; each character of a script written
     without spaces is a word.
     """
-    codes = code_points(texts) if codes is None else codes
     kinds = _kinds()[np.minimum(codes, 0x31FFF)]
     inside = kinds > 0
     alone = kinds == 2
@@ -138,7 +137,13 @@ def words(texts: list[str], codes: np.ndarray | None = None) -> tuple[np.ndarray
     starts[1:] &= ~inside[:-1] | alone[1:] | alone[:-1]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | alone[1:] | alone[:-1]
-    first, last = np.flatnonzero(starts), np.flatnonzero(ends)
+    return np.flatnonzero(starts), np.flatnonzero(ends)
+
+
+def words(texts: list[str], codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of folded texts without line feeds, in order, and the number of each word's text."""
+    codes = code_points(texts) if codes is None else codes
+    first, last = spans(codes)
     size = 1 << max(12, int(len(codes) - 1).bit_length())
     with np.errstate(over="ignore"):
         sums = np.zeros(len(codes) + 1, np.uint64)
