@@ -30,23 +30,26 @@ STEP_CONTAINERS = 64
 
 
 @cache
-def _encoding(vocabulary: str):
-    import public_tokenizers
+def _encoding(vocabulary: bytes, pattern: str):
     import tiktoken
 
-    with open(vocabulary, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, n_tokens)`` for every document, in the byte-level vocabulary at the path ``vocabulary``.
 
+    The file, of less than 1 MB, is read where the job starts and sent along.
     Null texts have no tokens. The strings of special tokens are ordinary text.
     """
+    import public_tokenizers
+
+    with open(vocabulary, "rb") as file:
+        shared = documents.sparkSession.sparkContext.broadcast((file.read(), public_tokenizers.PATTERN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(vocabulary).encode_ordinary
+        encode = _encoding(*shared.value).encode_ordinary
         for batch in batches:
             counts = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])

@@ -1,6 +1,9 @@
 import random
 
-from graphloom.llm.leakage import find_leaks
+from pyspark.sql import functions as F
+
+from graphloom.llm import leakage
+from graphloom.llm.leakage import find_leaks, item_windows, signatures, size_partition
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -24,7 +27,7 @@ def brute(docs, items, run=13):
 def found(spark, docs, items):
     d = spark.createDataFrame([(*r, 1, 1) for r in docs], "doc_id long, text string, id long, minhash long").repartition(3)
     i = spark.createDataFrame([(*r, 1) for r in items], "item_id long, passage string, size int")
-    return {(r[0], r[1]): (r[2], r[3]) for r in find_leaks(d, i).collect()}
+    return {(r.doc_id, r.item_id): (r.shared_windows, r.item_windows) for r in find_leaks(d, i).collect()}
 
 
 def test_against_brute_force(spark):
@@ -59,3 +62,25 @@ def test_empty_sides(spark):
     assert found(spark, [], [(1, "a b")]) == {}
     assert found(spark, [(1, "a b")], []) == {}
     assert found(spark, [(1, "a b c")], [(1, "B"), (2, "...")]) == {(1, 1): (1, 1)}
+
+
+def test_partitions_and_thresholds(spark):
+    ends = [r[0] for r in spark.createDataFrame([(n,) for n in (1, 12, 13, 16, 17, 140, 2000)], "n int").select(size_partition(F.col("n"))).collect()]
+    assert ends == [1, 12, 16, 16, 32, 256, 2**31 - 1]
+    random.seed(6)
+    items = [(k, " ".join(random.choices(WORDS, k=n))) for k, n in enumerate((5, 13, 16, 40, 120))]
+    rows = {r.item_id: r for r in signatures(item_windows(spark.createDataFrame(items, "item_id long, passage string"), "item_id", "passage")).collect()}
+    assert [rows[k].partition for k in range(5)] == [5, 16, 16, 64, 128] and rows[0].threshold == rows[1].signature == 1.0
+    assert rows[2].threshold == rows[1].threshold == 1 / rows[2].signature and all(r.threshold <= 1 / r.signature for r in rows.values())
+    # a run in common leaves at least the threshold; the whole item leaves all
+    docs = [(1, items[4][1]), (2, " ".join(items[4][1].split()[50:63]))]
+    got = {r.doc_id: r.estimate for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")).where("item_id = 4").collect()}
+    assert got[1] == 1.0 and rows[4].threshold <= got[2] < 0.2
+
+
+def test_the_filter_grows_with_the_items(spark, monkeypatch):
+    windows = lambda n: spark.range(n).select(F.xxhash64("id").alias("minhash"))
+    assert [leakage._filter(windows(n))[1] for n in (1, 20_000)] == [16, 21]
+    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(leakage, "MOST_BITS", 16)
+    test_against_brute_force(spark)
