@@ -102,7 +102,7 @@ TRADE_PATH = ["placed", "contains", "supplied_by"]
 
 
 def _kg(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return graphs.memory_seeds(spark, sf), graphs.memory_graph(spark, sf)
+    return graphs.memory_graph(spark, sf)
 
 
 def _trade(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

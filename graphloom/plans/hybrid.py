@@ -148,6 +148,22 @@ def feed_in_order(spark: SparkSession, sf: str) -> DataFrame:
     return _now(spark, folder)
 
 
+def feed_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed stopped after the first half of its sequences, and restarted when the rest has come: what exists before and after."""
+    rows = table(spark, sf, "materialized")
+    middle = rows.agg(F.floor((F.min("sequence") + F.max("sequence")) / 2).alias("_middle"))
+    rows = rows.join(F.broadcast(middle)).withColumn("_late", F.coalesce(F.col("sequence") > F.col("_middle"), F.lit(True))).drop("_middle")
+    folder = new_folder(spark, "restart")
+    schema = table(spark, sf, "materialized").schema
+    states = None
+    for phase, late in (("stopped", False), ("recovered", True)):
+        rows.where(F.col("_late") == late).drop("_late").write.mode("append").parquet(folder + "/feed")
+        materializer.materialize(materializer.read_feed(spark, folder + "/feed", schema, 8), folder, folder + "/checkpoint")
+        part = cut(_now(spark, folder), phase).agg(F.count(F.lit(1)).alias("n_memories"), F.sum("version").alias("versions"), F.countDistinct("update_id").alias("n_changes")).withColumn("phase", F.lit(phase))
+        states = part if states is None else states.unionByName(part)
+    return states
+
+
 def feed_search_index(spark: SparkSession, sf: str) -> DataFrame:
     """Postings of the first version of each memory, kept up with its last one or its deletion: terms and texts by graph."""
     rows = table(spark, sf, "memory_by_id").where(as_key("memory_id").isNotNull())
@@ -162,7 +178,7 @@ def feed_search_index(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (memory_signals, memory_salience, rank_graph_native, rank_selective, rank_hybrid, eval_recall_depths, eval_outcomes, eval_graph_coverage, eval_rerank_grid, eval_alignment, text_prompts, feed_stream, feed_in_order, feed_search_index)
+    for f in (memory_signals, memory_salience, rank_graph_native, rank_selective, rank_hybrid, eval_recall_depths, eval_outcomes, eval_graph_coverage, eval_rerank_grid, eval_alignment, text_prompts, feed_stream, feed_in_order, feed_restart, feed_search_index)
 }
 
 
@@ -250,6 +266,10 @@ p AS (SELECT q.query_id, 'Answer the question using only the evidence below.' ||
 SELECT query_id, CAST(length(prompt) AS INTEGER) AS n_chars, sha256(prompt) AS prompt_sha256 FROM p""",
     "feed_stream": training.SQL["p2_found"],
     "feed_in_order": training.SQL["p2_found"].replace("FROM materialized)", "FROM materialized WHERE sequence <= (SELECT min(sequence) FROM (SELECT 0 AS sequence UNION ALL SELECT sequence FROM materialized) WHERE sequence + 1 NOT IN (SELECT sequence FROM materialized WHERE sequence IS NOT NULL)))"),
+    "feed_restart": " UNION ALL ".join(
+        f"SELECT '{phase}' AS phase, count(*) AS n_memories, CAST(sum(version) AS BIGINT) AS versions, count(DISTINCT update_id) AS n_changes FROM ({training.SQL['p2_found'].replace('FROM materialized)', f'FROM materialized WHERE {wanted})')})"
+        for phase, wanted in (("stopped", "sequence <= (SELECT floor((min(sequence) + max(sequence)) / 2) FROM materialized)"), ("recovered", "true"))
+    ),
     "feed_search_index": f"""
 WITH m AS (SELECT graph_id AS scope, graph_id || '/' || {P._KEY} AS doc_id, last(raw_text ORDER BY version NULLS FIRST, updated_at NULLS FIRST, raw_text NULLS FIRST) AS text FROM memory_by_id WHERE {P._KEY} IS NOT NULL GROUP BY ALL HAVING count(deleted_at) = 0),
 t AS (SELECT scope, doc_id, unnest({P._tokens_sql("text")}) AS term FROM m)

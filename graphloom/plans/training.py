@@ -78,7 +78,7 @@ def p4_differences(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Memories missing on either side, and each differing field."""
-    return p4_differences(spark, sf).where("kind not like 'repeated%'").select("memory_id", "field", "kind")
+    return p4_differences(spark, sf).where("kind not like 'repeated%'").select("memory_id", "field", "kind").distinct()
 
 
 def _references(spark: SparkSession, sf: str) -> tuple[list[orphans.References], DataFrame]:
@@ -155,15 +155,15 @@ UNION ALL SELECT k, 'row', 'missing_in_cassandra' FROM n WHERE k NOT IN (SELECT
 )
 
 _COPY = "SELECT " + _key("memory_id") + " AS k, " + ", ".join(f"{_WHOLE.format(v)} AS {v}" for v in VERSIONS) + " FROM p5_3c_{0}_final_state_audit WHERE " + _key("memory_id") + " IS NOT NULL"
-_RESIDUE = "SELECT k, " + ", ".join(f"max({v}) AS {v}" for v in VERSIONS) + " FROM (SELECT * FROM {0} EXCEPT ALL SELECT * FROM {1}) GROUP BY k"
+_RESIDUE = "SELECT *, row_number() OVER (PARTITION BY k ORDER BY " + ", ".join(f"{v} NULLS FIRST" for v in VERSIONS) + ") AS place FROM (SELECT DISTINCT * FROM (SELECT * FROM {0} EXCEPT ALL SELECT * FROM {1}))"
+_LONE = "SELECT DISTINCT k AS memory_id, 'row' AS field, CASE WHEN k IN (SELECT k FROM {1}) THEN 'repeated_in_{2}' ELSE 'missing_in_{3}' END AS kind, CAST(NULL AS BIGINT) AS left_value, CAST(NULL AS BIGINT) AS right_value FROM {0} ANTI JOIN {4} USING (k, place)"
 _RESIDUE_SQL = (
     f"""
 WITH c AS ({_COPY.format("cassandra")}), n AS ({_COPY.format("neo4j")}),
 l AS ({_RESIDUE.format("c", "n")}), r AS ({_RESIDUE.format("n", "c")})
-SELECT k AS memory_id, 'row' AS field, CASE WHEN k IN (SELECT k FROM n) THEN 'repeated_in_cassandra' ELSE 'missing_in_neo4j' END AS kind, CAST(NULL AS BIGINT) AS left_value, CAST(NULL AS BIGINT) AS right_value FROM l WHERE k NOT IN (SELECT k FROM r)
-UNION ALL SELECT k, 'row', CASE WHEN k IN (SELECT k FROM c) THEN 'repeated_in_neo4j' ELSE 'missing_in_cassandra' END, NULL, NULL FROM r WHERE k NOT IN (SELECT k FROM l)
+{_LONE.format("l", "n", "cassandra", "neo4j", "r")} UNION ALL {_LONE.format("r", "c", "neo4j", "cassandra", "l")}
 """
-    + "".join(f"UNION ALL SELECT l.k, '{v}', 'differs', l.{v}, r.{v} FROM l JOIN r ON l.k = r.k WHERE l.{v} IS DISTINCT FROM r.{v}\n" for v in VERSIONS)
+    + "".join(f"UNION ALL SELECT DISTINCT l.k, '{v}', 'differs', l.{v}, r.{v} FROM l JOIN r ON l.k = r.k AND l.place = r.place WHERE l.{v} IS DISTINCT FROM r.{v}\n" for v in VERSIONS)
 )
 
 _ORPHAN_SQL = f"""

@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.edges import IDENTITY, canonical_edges, logical_edge_id, with_inverse
+from graphloom.session import cut
 from graphloom.sources.tables import table
 
 
-def memory_graph(spark: SparkSession, folder: str) -> DataFrame:
-    """The logical edges of ``kg_edges_by_src`` and their inverses: ``(*IDENTITY, edge_id)``."""
-    edges = with_inverse(canonical_edges(table(spark, folder, "kg_edges_by_src")))
-    return edges.withColumn("edge_id", logical_edge_id())
+def _by_source(edges: DataFrame) -> DataFrame:
+    """Edges written once in ranges of their source, as every hop reads them: the files' statistics keep most of them from its scan."""
+    return cut(edges.repartitionByRange("graph_id", "src_id", "relation", "dst_id").sortWithinPartitions("graph_id", "src_id"), "graph")
 
 
-def memory_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """Every source of ``kg_edges_by_src`` whose number is divisible by 50: ``(query_id, graph_id, seed_id)``."""
-    edges = canonical_edges(table(spark, folder, "kg_edges_by_src"))
+def memory_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Seeds and edges of ``kg_edges_by_src``: every source whose number is divisible by 50, and the logical edges with their inverses.
+
+    ``(query_id, graph_id, seed_id)`` and ``(*IDENTITY, edge_id)``. The edges
+    are made once and written, so that no hop makes them anew.
+    """
+    forward = cut(canonical_edges(table(spark, folder, "kg_edges_by_src")).select(*IDENTITY), "canonical")
+    return memory_seeds(forward), _by_source(with_inverse(forward).withColumn("edge_id", logical_edge_id()))
+
+
+def memory_seeds(edges: DataFrame) -> DataFrame:
+    """Every source whose number is divisible by 50: ``(query_id, graph_id, seed_id)``."""
     number = F.regexp_extract("src_id", r"(\d+)$", 1).try_cast("bigint")
     return edges.where(number % 50 == 0).select("graph_id", F.col("src_id").alias("seed_id")).distinct().withColumn("query_id", F.col("seed_id"))
 
@@ -41,7 +50,7 @@ def trade_graph(spark: SparkSession, folder: str) -> DataFrame:
     whole = edges[0]
     for part in edges[1:]:
         whole = whole.unionByName(part)
-    return whole.distinct().select(*IDENTITY).withColumn("edge_id", logical_edge_id())
+    return _by_source(whole.distinct().select(*IDENTITY).withColumn("edge_id", logical_edge_id()))
 
 
 def trade_seeds(spark: SparkSession, folder: str) -> DataFrame:

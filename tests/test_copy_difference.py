@@ -26,7 +26,15 @@ def test_all_kinds(spark):
 def test_empty_sides_and_hot_key(spark):
     assert run(spark, [], []) == set()
     assert run(spark, [("x", None, None)], []) == {("x", "row", "missing_in_two", None, None)}
-    assert run(spark, [("h", i % 7, i) for i in range(500)], [("h", 3, -1)]) == {("h", "a", "differs", "6", "3"), ("h", "b", "differs", "496", "-1")}
+    assert run(spark, [("h", i % 7, i) for i in range(500)], [("h", 3, -1)]) == {("h", "a", "differs", "0", "3"), ("h", "b", "differs", "0", "-1"), ("h", "row", "repeated_in_one", None, None)}
+
+
+def test_every_row_of_a_key_is_compared(spark):
+    left = [("m", 1, 1), ("m", 5, 5), ("m", 9, 9), ("m", 9, 9), ("same", 1, 1), ("same", 2, 2)]
+    right = [("m", 1, 2), ("m", 5, 5), ("m", 8, 9), ("same", 2, 2), ("same", 1, 1)]
+    assert run(spark, left, right) == {("m", "b", "differs", "1", "2"), ("m", "a", "differs", "9", "8")}
+    assert run(spark, [("m", None, 1), ("m", 2, 1), ("m", 10, 1)], [("m", 2, 3), ("m", 10, 3)]) == {("m", "a", "differs", None, "2"), ("m", "b", "differs", "1", "3"), ("m", "a", "differs", "2", "10"), ("m", "row", "repeated_in_one", None, None)}
+    assert run(spark, [("n", 1, 1), ("n", 2, 2)], []) == {("n", "row", "missing_in_two", None, None)}
 
 
 def test_numbers_in_any_writing(spark):
