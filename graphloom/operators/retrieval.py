@@ -188,6 +188,8 @@ def graph_shares(features: DataFrame, queries: DataFrame) -> DataFrame:
     """
     rows = queries.select("scope", "query_id", F.array_distinct(X.tokens(F.col("text"))).alias("_t"))
     rows = rows.select("scope", "query_id", F.size("_t").alias("n"), X.is_temporal(F.col("_t")).alias("temporal"), F.size(F.filter("_t", X.is_entity_like)).alias("entities"), F.explode("_t").alias("token"))
+    # written, as they are counted for hot tokens, joined, and searched for temporal ones
+    features = cut(features, "features")
     temporal = features.where(F.col("token").isin(*X.TEMPORAL_WORDS)).select("scope", "doc_id").distinct().withColumn("_timed", F.lit(True))
     met = salted_join(features, rows, ["scope", "token"], "doc_id", "inner").groupBy("scope", "query_id", "doc_id", "n", "temporal", "entities")
     met = met.agg(F.sum("is_entity").alias("e"), F.sum("is_relation").alias("r"), F.count(F.lit(1)).alias("a"), F.sum(F.when(X.is_entity_like(F.col("token")), F.col("is_entity")).otherwise(0)).alias("ee"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.operators.skew import salted_join
+from graphloom.session import cut
 
 # fixed values: tokens of a question that ask for a relation
 RELATION_WORDS = "went bought met talked liked visited attended worked lived called gave asked told remembered saw found lost sold read wrote learned taught moved traveled started finished".split()
@@ -52,14 +54,16 @@ def graph_native(queries: DataFrame, features: DataFrame, edges: DataFrame, sign
     1 for temporal on both sides + 1 for two shared anchors + ln(1 + edges)
     - 0.3 x path length (1 with a shared anchor, else 2).
     """
+    # written, as they are counted for hot tokens and joined twice
+    features = cut(features, "features")
     asked = queries.select("scope", "query_id", F.array_distinct(X.tokens(F.col("text"))).alias("_t"))
     asked = asked.select("scope", "query_id", F.size(F.filter("_t", is_anchor)).alias("na"), F.size(F.filter("_t", lambda t: t.isin(*RELATION_WORDS))).alias("nr"), X.is_temporal(F.col("_t")).alias("timed"), F.explode("_t").alias("token"))
     flags = asked.withColumn("a", is_anchor(F.col("token"))).withColumn("r", F.col("token").isin(*RELATION_WORDS)).where("a or r")
-    direct = flags.join(features, ["scope", "token"]).select("scope", "query_id", "doc_id", "na", "nr", "timed", (F.col("a").cast("int") * F.col("is_entity")).alias("ea"), (F.col("r").cast("int") * F.col("is_relation")).alias("er"))
+    direct = salted_join(features, flags, ["scope", "token"], "doc_id", "inner").select("scope", "query_id", "doc_id", "na", "nr", "timed", (F.col("a").cast("int") * F.col("is_entity")).alias("ea"), (F.col("r").cast("int") * F.col("is_relation")).alias("er"))
     pairs = edges.select("scope", F.lower("src_id").alias("token"), F.lower("dst_id").alias("other")).where(F.col("token").rlike(_SINGLE) & F.col("other").rlike(_SINGLE))
-    pairs = pairs.unionByName(pairs.select("scope", F.col("other").alias("token"), F.col("token").alias("other"))).distinct()
-    reached = flags.where("a").join(pairs, ["scope", "token"]).select("scope", "query_id", F.col("other").alias("token"), "na", "nr", "timed").distinct()
-    reached = reached.join(features.where("is_entity = 1"), ["scope", "token"]).select("scope", "query_id", "doc_id", "na", "nr", "timed", F.lit(0).alias("ea"), F.lit(0).alias("er"), F.lit(True).alias("_hop"))
+    pairs = cut(pairs.unionByName(pairs.select("scope", F.col("other").alias("token"), F.col("token").alias("other"))).distinct(), "pairs")
+    reached = salted_join(pairs, flags.where("a"), ["scope", "token"], "other", "inner").select("scope", "query_id", F.col("other").alias("token"), "na", "nr", "timed").distinct()
+    reached = salted_join(features.where("is_entity = 1"), reached, ["scope", "token"], "doc_id", "inner").select("scope", "query_id", "doc_id", "na", "nr", "timed", F.lit(0).alias("ea"), F.lit(0).alias("er"), F.lit(True).alias("_hop"))
     met = direct.where("ea + er > 0").withColumn("_hop", F.lit(False)).unionByName(reached).groupBy("scope", "query_id", "doc_id", "na", "nr", "timed").agg(F.sum("ea").alias("ea"), F.sum("er").alias("er"))
     met = met.join(signals, ["scope", "doc_id"])
     score = (

@@ -205,7 +205,10 @@ SQL = {
 qt AS (SELECT scope, query_id, list_distinct({P._tokens_sql("text")}) AS t FROM q),
 qx AS (SELECT scope, query_id, len(list_filter(t, lambda x: {_anchor("x")})) AS na, len(list_filter(t, lambda x: list_contains({_RELATIONS}, x))) AS nr, list_has_any(t, {P._TIMES}) AS timed, unnest(t) AS token FROM qt),
 met AS (SELECT x.scope, x.query_id, f.doc_id, na, nr, timed, CASE WHEN {_anchor("x.token")} THEN is_entity ELSE 0 END AS ea, CASE WHEN list_contains({_RELATIONS}, x.token) THEN is_relation ELSE 0 END AS er FROM qx x JOIN feat f ON f.scope = x.scope AND f.token = x.token),
-g AS (SELECT scope, query_id, doc_id, na, nr, timed, sum(ea) AS ea, sum(er) AS er FROM met WHERE ea + er > 0 GROUP BY ALL),
+edge1 AS (SELECT scope, lower(src_id) AS token, lower(dst_id) AS other FROM edges WHERE regexp_full_match(lower(src_id), '[a-z0-9]{{2,}}') AND regexp_full_match(lower(dst_id), '[a-z0-9]{{2,}}')),
+near1 AS (SELECT * FROM edge1 UNION SELECT scope, other, token FROM edge1),
+hop1 AS (SELECT DISTINCT x.scope, x.query_id, f.doc_id, na, nr, timed, 0 AS ea, 0 AS er FROM qx x JOIN near1 n ON n.scope = x.scope AND n.token = x.token JOIN feat f ON f.scope = x.scope AND f.token = n.other AND f.is_entity = 1 WHERE {_anchor("x.token")}),
+g AS (SELECT scope, query_id, doc_id, na, nr, timed, sum(ea) AS ea, sum(er) AS er FROM (SELECT * FROM met WHERE ea + er > 0 UNION ALL SELECT * FROM hop1) GROUP BY ALL),
 native AS (SELECT g.query_id, g.doc_id, 2.0 * coalesce(CAST(ea AS DOUBLE) / nullif(na, 0), 0) + 1.5 * coalesce(CAST(er AS DOUBLE) / nullif(nr, 0), 0) + CAST(timed AND s.temporal = 1 AS INTEGER) + CAST(na >= 2 AND ea >= 2 AS INTEGER) + ln(1 + s.n_edges) - 0.3 * CASE WHEN ea > 0 THEN 1 ELSE 2 END AS score
   FROM g JOIN sig s ON s.scope = g.scope AND s.doc_id = g.doc_id)
 SELECT * FROM {P._top("native", 10)}""",

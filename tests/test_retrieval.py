@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators import fusion as U
 from graphloom.operators import retrieval as R
+from graphloom.operators import signals as G
 
 WORDS = "river stone lamp garden night mountain paper window train coffee".split()
 
@@ -132,6 +133,18 @@ def test_graph_scores(spark):
     assert got == pytest.approx({"m1": 0.5 * 3 / 4 + 0.15 * 3 / 4 + 0.05})
 
 
+def test_graph_native_reaches_neighbours(spark):
+    edge = "scope string, doc_id string, src_id string, relation string, dst_id string"
+    # ann is linked to bo, bo to cafe; only single tokens are linked
+    edges = spark.createDataFrame([("s", "m1", "ann", "met", "bo"), ("s", "m2", "bo", "visited", "cafe"), ("s", "m3", "place:cafe x", "near", "mill"), ("s", "m4", "dan", "saw", "eve"), ("t", "m5", "bo", "met", "dan")], edge)
+    features = R.graph_features(edges)
+    queries = spark.createDataFrame([("s", "q1", "Where is Ann?"), ("s", "q2", "Who visited?"), ("s", "q3", "")], "scope string, query_id string, text string")
+    got = {(r.query_id, r.doc_id): r.score for r in G.graph_native(queries, features, edges, G.memory_signals(features, edges)).collect()}
+    log2 = np.log1p(1)
+    # m1 has the anchor; m2 has only its neighbour bo; m2 has the relation of the second question
+    assert got == pytest.approx({("q1", "m1"): 2 + log2 - 0.3, ("q1", "m2"): log2 - 0.6, ("q2", "m2"): 1.5 + log2 - 0.6})
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).collect()[0].v
     lit = F.lit
