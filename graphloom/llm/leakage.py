@@ -26,7 +26,7 @@ from graphloom.session import cut
 RUN = 13
 SHINGLE = 5
 #: Bits of the filter of MinHashes sent to all tasks, for each different one, and its least and greatest size (8 KB and 128 MB).
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 30
+BITS_EACH, LEAST_BITS, MOST_BITS = 1024, 16, 30
 #: Windows of items up to which they are broadcast to the verification (at most 24 MB); more are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
 #: Upper ends of the partitions of items of 13 words and more; a shorter one is in that of its own size.
