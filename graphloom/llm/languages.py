@@ -43,7 +43,7 @@ PASSAGES = {
     "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης. Κάθε άτομο έχει δικαίωμα στη ζωή, την ελευθερία και την προσωπική του ασφάλεια.",
 }
 LANGUAGES = tuple(PASSAGES)
-ORDERS = (1, 2, 3, 4, 5)
+ORDERS = (2, 3, 4)
 TABLE_BITS = 16
 #: Weight of what all languages have in common, in n-grams.
 SMOOTHING = 120.0
@@ -110,7 +110,7 @@ def word_scores(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         if len(bucket):
             start = np.flatnonzero(np.diff(owner, prepend=-1))
             scores[owner[start]] += np.add.reduceat(table[bucket], start, axis=0)
-    # n-grams of five orders overlap: a word counts about once
+    # n-grams of several orders overlap: a word counts about once
     return scores[back] / len(ORDERS)
 
 

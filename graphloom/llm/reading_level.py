@@ -40,7 +40,8 @@ FIT_PARTITIONS = 4
 # what only machines write inside a token, or a number with letters; and what a line of mere words never has
 _ODD = re.compile(r"[0-9=_/\\@|<>{}\[\]#~^+*]|\w[:;,]\w|--|\":")
 _MACHINE = re.compile(r"[=_/\\@|<>{}~^+*#]|[^\W\d][:;,]\w|\w[:;,][^\W\d]|--|\":|\d[^\s\d]*[^\W\d_]|[^\W\d_][^\s\d]*\d|\d[-:]\d|\d[.,]\d.*[.,:;]\d")
-_PLAIN = re.compile(r"[(\"'“‘«\[]*[^\W\d_]+(?:['’\-.][^\W\d_]+)*[)\"'”’»\].,;:!?…]*")
+#: No word that a person writes is longer; what is longer is an address, a code or a script without spaces.
+LONGEST_WORD = 64
 _LEAD = re.compile(r"(?:[>|\s]|[-*•+–](?=\s)|\d{1,3}[.)](?=\s)|\[\d{1,2}:\d{2}(?::\d{2})?\])+")
 _SPEAKER = re.compile(r"[^\W\d_]{2,30}:\s+")
 _END = re.compile(r"[.!?。！？]+\s+")
@@ -49,26 +50,29 @@ _END = re.compile(r"[.!?。！？]+\s+")
 def _is_prose(line: str) -> bool:
     """Whether a line is running text, by its tokens.
 
-    At least half of them are words as people write them, and at most a fifth
-    are such as machines write (assignments, paths, identifiers, stamps,
-    cells). Headings are no running text.
+    More than half of them are without digits and odd characters, and at most a
+    fifth are such as machines write (assignments, paths, identifiers, stamps,
+    cells). Headings are no running text. ``line`` has single spaces.
     """
     if line[0] == "#":
         return False
-    if not _ODD.search(line):
-        return True
-    tokens = line.split()
-    machine = sum(_MACHINE.search(t) is not None for t in tokens)
-    if 5 * machine > len(tokens):
-        return False
-    return 2 * sum(_PLAIN.fullmatch(t) is not None for t in tokens) > len(tokens)
+    odd = machine = end = 0
+    for found in _ODD.finditer(line):
+        at = found.start()
+        if at >= end:
+            start, end = line.rfind(" ", 0, at) + 1, line.find(" ", at)
+            end = len(line) if end < 0 else end
+            odd += 1
+            machine += end - start > LONGEST_WORD or _MACHINE.search(line, start, end) is not None
+    tokens = line.count(" ") + 1
+    return 5 * machine <= tokens and 2 * (tokens - odd) > tokens
 
 
 def prose_sentences(text: str) -> list[str]:
     """The sentences of running prose, folded; speakers and list marks are cut off."""
     out: list[str] = []
     for line in W.fold(W.plain(text)).split("\n"):
-        line = line.strip()
+        line = " ".join(line.split())
         if not line:
             continue
         # a row of a table keeps its bars, by which it is known

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -64,9 +66,16 @@ def test_short_sentences_follow_their_text_and_texts_dont_mix():
     "a,b,c,the,of", "| the | cat | sat |", "# A heading of the page", "ann -> knows -> bob", "(ann, knows, bob);(bob,likes,tea)", "user:ann role:the-editor", "2024-01-05 10:22:31,123 ERROR the job of x failed", "https://a.b/c see", "x_1 y_2 z_3",
 ])
 def test_what_machines_write_is_no_prose(line):
-    assert not _is_prose(line)
+    assert not _is_prose(" ".join(line.split()))
 
 
 @pytest.mark.parametrize("line", ["It was 7 o'clock.", "In 1999, about 1,000 people (some say more) came; why?", '"No," she said, "it is his."', "The well-known e-mail arrived on the 3rd of May.", "I paid 5 euros for two.", "he said [40] that it was so", "One"])
 def test_what_people_write_is_prose(line):
     assert _is_prose(line)
+
+
+def test_long_tokens_take_linear_time():
+    for part in ("a", "a1", "a,", "1.1,", "=", "-", "\u4f1a1"):
+        began = time.process_time()
+        prose_sentences(part * 100_000)
+        assert time.process_time() - began < 3
