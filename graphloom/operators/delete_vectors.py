@@ -24,8 +24,9 @@ from graphloom.session import new_folder
 
 #: Bitmaps of 4 KB cover 32768 positions each; up to this many are broadcast to a read, more are joined by file and block.
 BROADCAST_BITMAPS = 4096
-#: Parts of the index by hash of the key; their numbers are all that reaches the driver.
-INDEX_PARTS = 16
+#: Least and greatest number of parts of the index by hash of the key. Unless it is given, a new table has as many as
+#: shuffles have tasks, and keeps that number; the numbers of parts are all of the index that reaches the driver.
+LEAST_PARTS, MOST_PARTS = 8, 4096
 #: Additions to a part of the index, or to the bitmaps, after which they are merged into one.
 MOST_ADDITIONS = 8
 
@@ -45,6 +46,7 @@ class _Manifest:
     """What holds after a batch: folders of images and bitmaps, and for each part of the index its folders, oldest first."""
 
     batches: int = 0
+    parts: int = 0
     schema: str = ""
     images: list[str] = field(default_factory=list)
     index: dict[str, list[str]] = field(default_factory=dict)
@@ -65,18 +67,19 @@ class DeleteVectorTable:
     spark: SparkSession
     payload: list[str]
     folder: str = ""
-    parts: int = INDEX_PARTS
+    parts: int = 0
     manifest: _Manifest = field(default_factory=_Manifest, repr=False)
 
     def __post_init__(self) -> None:
         self.folder = self.folder or new_folder(self.spark, "delete-vectors")
+        self.parts = self.parts or min(MOST_PARTS, max(LEAST_PARTS, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
 
     @property
     def batches(self) -> int:
         return self.manifest.batches
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, payload: list[str], parts: int = INDEX_PARTS) -> DeleteVectorTable:
+    def open(cls, spark: SparkSession, folder: str, payload: list[str], parts: int = 0) -> DeleteVectorTable:
         """The table that was kept in ``folder``, as of its last whole batch; an unfinished batch is written anew."""
         state = cls(spark, payload, folder, parts)
         known = [int(name) for name in state._names("manifests") if name.isdigit()]
@@ -87,6 +90,7 @@ class DeleteVectorTable:
                 state.manifest = _Manifest(**json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
             finally:
                 stream.close()
+            state.parts = state.manifest.parts
         return state
 
     # the folder's files, over whatever file system it is on
@@ -204,7 +208,7 @@ class DeleteVectorTable:
         if len(vectors) > MOST_ADDITIONS:
             self._bitmaps(vectors).write.mode("overwrite").parquet(f"{self.folder}/vectors-{number}-merged")
             vectors = [f"vectors-{number}-merged"]
-        self._commit(_Manifest(number, schema, [*was.images, f"images-{number}"], index, vectors))
+        self._commit(_Manifest(number, self.parts, schema, [*was.images, f"images-{number}"], index, vectors))
 
     def _located(self, name: str, schema: str) -> DataFrame:
         """Entries of the index for the images in a folder."""
@@ -219,7 +223,7 @@ class DeleteVectorTable:
         tombstones = last.where("e.version is not null and e.file is null").select("key", "e.*")
         entries = self._located(f"images-{number}", was.schema).unionByName(tombstones).withColumn("batch", F.lit(number).cast("bigint"))
         index = {part: [f"index-{number}"] for part in self._write_index(entries, f"index-{number}")}
-        self._commit(_Manifest(number, was.schema, [f"images-{number}"], index, []))
+        self._commit(_Manifest(number, self.parts, was.schema, [f"images-{number}"], index, []))
 
     def _bitmaps(self, names: list[str]) -> DataFrame:
         if not names:

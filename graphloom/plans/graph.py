@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import edges as E
 from graphloom.operators import traverse as T
+from graphloom.operators.evidence import first_of_each
 from graphloom.sources import graphs
 from graphloom.sources.tables import table
 
@@ -27,6 +28,14 @@ def edge_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return E.duplicate_edges(_canonical(spark, sf)).select("logical_edge_id", "copies")
 
 
+def edge_duplicate_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to three stored ids of each logical edge that is stored more than once."""
+    rows = table(spark, sf, "kg_edges_by_src").select(*[F.coalesce(E.trimmed(c), F.lit("")).alias(c) for c in E.IDENTITY], "edge_id").withColumn("logical_edge_id", E.logical_edge_id())
+    twice = E.duplicate_edges(_canonical(spark, sf)).select("logical_edge_id")
+    found = rows.select("logical_edge_id", "edge_id").join(twice, "logical_edge_id", "left_semi").distinct()
+    return first_of_each(found, ["logical_edge_id"], ["edge_id"], 3)
+
+
 def edge_identity_rules(spark: SparkSession, sf: str) -> DataFrame:
     """How many edges remain under each of the identity rules in use."""
     rules = {"five": E.IDENTITY, "without_source": E.IDENTITY[:4], "without_graph": E.IDENTITY[1:], "triple": E.IDENTITY[1:4]}
@@ -199,6 +208,7 @@ QUERIES = {
     for f in (
         edge_canonical,
         edge_duplicates,
+        edge_duplicate_examples,
         edge_identity_rules,
         edge_buckets,
         edge_reverse_lookup,
@@ -301,6 +311,7 @@ _SELECTIVITY = _C + "SELECT graph_id, src_id, count(*) AS raw_edges, CAST(count(
 SQL = {
     "edge_canonical": _C + "SELECT * FROM c",
     "edge_duplicates": _C + "SELECT logical_edge_id, copies FROM c WHERE copies > 1",
+    "edge_duplicate_examples": _C + f"SELECT DISTINCT c.logical_edge_id, r.edge_id FROM (SELECT edge_id, {', '.join(f'{_trim(x)} AS {x}' for x in E.IDENTITY)} FROM kg_edges_by_src) r JOIN c ON {' AND '.join(f'r.{x} = c.{x}' for x in E.IDENTITY)} WHERE c.copies > 1 QUALIFY dense_rank() OVER (PARTITION BY c.logical_edge_id ORDER BY r.edge_id) <= 3",
     "edge_identity_rules": " UNION ALL ".join(
         f"SELECT '{name}' AS rule, count(*) AS n_edges, CAST(sum(copies) AS BIGINT) AS n_rows FROM {_canonical_sql(identity=rule)}" for name, rule in {"five": E.IDENTITY, "without_source": E.IDENTITY[:4], "without_graph": E.IDENTITY[1:], "triple": E.IDENTITY[1:4]}.items()
     ),

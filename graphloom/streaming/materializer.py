@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import as_key
@@ -39,17 +39,20 @@ def placed(earlier: DataFrame | None, rows: DataFrame) -> DataFrame:
     return moved.unionByName(rows.where("update_id is null").withColumn("old_key", F.lit(None).cast("string")))
 
 
-#: Parts of the kept changes, by hash of the change's id: a batch reads those of its own changes.
-LOG_PARTS = 32
 #: Batches after which superseded images are left behind.
 COMPACT_EVERY = 64
 
 
 class _Log:
-    """Changes kept beside the table, as ``batch=N/part=P``: where each change stands, and under which key it stood before."""
+    """Changes kept beside the table, as ``batch=N/part=P``: where each change stands, and under which key it stood before.
 
-    def __init__(self, spark: SparkSession, folder: str, kinds: str) -> None:
+    Parts follow from the hash of the change's id, so that a batch reads those
+    of its own changes; there are as many as the table's index has.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, kinds: str, parts: int) -> None:
         self.spark, self.folder, self.kinds = spark, folder, kinds
+        self.part = F.pmod(F.xxhash64("update_id"), F.lit(parts)).cast("int")
 
     def before(self, number: int, parts: list[int] | None = None) -> DataFrame | None:
         """What batches before ``number`` kept, in some parts or all."""
@@ -59,25 +62,21 @@ class _Log:
         return rows if parts is None else rows.where(F.col("part").isin(parts))
 
     def keep(self, rows: DataFrame, number: int) -> DataFrame:
-        rows = rows.withColumn("part", _part())
+        rows = rows.withColumn("part", self.part)
         rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/batch={number}")
         return self.spark.read.schema(f"{self.kinds}, old_key string").parquet(f"{self.folder}/batch={number}")
 
 
-def _part() -> Column:
-    return F.pmod(F.xxhash64("update_id"), F.lit(LOG_PARTS)).cast("int")
-
-
 def _apply(rows: DataFrame, number: int, folder: str) -> None:
     """Apply batch ``number``; what it reads of earlier batches follows its own changes."""
     spark = rows.sparkSession
     table = DeleteVectorTable.open(spark, f"{folder}/table", PAYLOAD)
     rows = changes(rows)
-    log = _Log(spark, f"{folder}/changes", ", ".join(f"{name} {kind}" for name, kind in rows.dtypes))
+    log = _Log(spark, f"{folder}/changes", ", ".join(f"{name} {kind}" for name, kind in rows.dtypes), table.parts)
     earlier = None
     if number:
         ids = rows.where("update_id is not null").select("update_id").distinct()
-        parts = [row[0] for row in ids.select(_part()).distinct().collect()]  # at most one row for each part
+        parts = [row[0] for row in ids.select(log.part).distinct().collect()]  # at most one row for each part
         earlier = log.before(number, parts).join(ids, "update_id", "left_semi")
     fresh = log.keep(placed(earlier, rows), number)
     reopened = fresh.where("old_key is not null").select(F.col("old_key").alias("key")).distinct()
