@@ -44,9 +44,9 @@ def copy_differences(left: DataFrame, right: DataFrame, key: str, fields: list[s
         rows = cut(rows, "residue")
         many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(key)
         single = rows.join(many, key, "left_anti").withColumn("_place", F.lit(0).cast("bigint"))
-        several = cut(rows.join(many, key, "left_semi"), "several")
-        if several.isEmpty():
-            return single.select(key, side, "_place")
+        if many.isEmpty():
+            return rows.select(key, side, F.lit(0).cast("bigint").alias("_place"))
+        several = rows.join(many, key, "left_semi")
         # as text, missing values first and numbers by their size
         order = [F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.when(F.col(c).cast("double") < 0, "-").otherwise("0"), F.lit("")), F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 40, "0")) for c in (f"{side}.{f}" for f in fields)]
         text = F.concat_ws("\u0001", F.col(key).cast("string"), F.lit("\u0001"), *order)
