@@ -10,19 +10,15 @@ from graphloom.session import cut
 from graphloom.sources.tables import table
 
 
-def _by_source(edges: DataFrame) -> DataFrame:
-    """Edges written once in ranges of their source, as every hop reads them: the files' statistics keep most of them from its scan."""
-    return cut(edges.repartitionByRange("graph_id", "src_id", "relation", "dst_id").sortWithinPartitions("graph_id", "src_id"), "graph")
-
-
 def memory_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Seeds and edges of ``kg_edges_by_src``: every source whose number is divisible by 50, and the logical edges with their inverses.
 
     ``(query_id, graph_id, seed_id)`` and ``(*IDENTITY, edge_id)``. The edges
-    are made once and written, so that no hop makes them anew.
+    are made once and written, so that no hop makes them anew; inverses and ids
+    are made of those that a hop reads.
     """
     forward = cut(canonical_edges(table(spark, folder, "kg_edges_by_src")).select(*IDENTITY), "canonical")
-    return memory_seeds(forward), _by_source(with_inverse(forward).withColumn("edge_id", logical_edge_id()))
+    return memory_seeds(forward), with_inverse(forward).withColumn("edge_id", logical_edge_id())
 
 
 def memory_seeds(edges: DataFrame) -> DataFrame:
@@ -50,7 +46,8 @@ def trade_graph(spark: SparkSession, folder: str) -> DataFrame:
     whole = edges[0]
     for part in edges[1:]:
         whole = whole.unionByName(part)
-    return _by_source(whole.distinct().select(*IDENTITY).withColumn("edge_id", logical_edge_id()))
+    # not written: a hop's relation leaves the tables of all others unread
+    return whole.distinct().select(*IDENTITY).withColumn("edge_id", logical_edge_id())
 
 
 def trade_seeds(spark: SparkSession, folder: str) -> DataFrame:
