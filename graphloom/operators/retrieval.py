@@ -91,6 +91,98 @@ def tfidf(corpus: DataFrame, queries: DataFrame, terms: Terms = X.terms, subline
     return dots.join(norms, ["scope", "doc_id"]).join(qnorms, ["scope", "query_id"]).select("scope", "query_id", "doc_id", (F.col("_dot") / (F.col("_dn") * F.col("_qn"))).alias("score"))
 
 
+#: A cell of the grid holds about so many documents and queries at most.
+CELL_DOCS, CELL_QUERIES = 65536, 4096
+#: With fewer documents, slices are made for all tasks, but of no fewer than this.
+LEAST_DOCS = 2048
+
+
+def tfidf_top(corpus: DataFrame, queries: DataFrame, k: int, terms: Terms = X.terms, sublinear: bool = False, digits: int = 6) -> DataFrame:
+    """The best ``k`` of each query by :func:`tfidf`, as :func:`top_k` gives them, exact.
+
+    For scopes so large that the pairs of queries and documents that share a
+    term are too many to be rows. Sparse vectors meet in a grid of slices of
+    documents and parts of queries; a cell scores its pairs in arrays and sends
+    the best ``k`` of each query on, so what is shuffled follows the number of
+    cells, not of pairs. Cells are bounded, whatever the size of a scope.
+    """
+
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if docs.num_rows and asked.num_rows:
+            docs = docs.sort_by("doc_id")  # by bytes, as Spark does
+            found = _best_of_cell(_sparse(docs), docs["norm"].to_numpy(), _sparse(asked), k, digits)
+        return pa.table({"query_id": asked["query_id"].take(pa.array(found[0])), "doc_id": docs["doc_id"].take(pa.array(found[1])), "score": found[2]})
+
+    every = cut(postings(corpus, terms), "postings")
+    asked = query_terms(queries, terms)
+    sizes = cut(corpus.groupBy("scope").agg(F.count(F.lit(1)).alias("n_docs")), "sizes")
+    wanted = asked.select("scope", "term").distinct().withColumn("_wanted", F.lit(True))
+    frequency = every.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = frequency.join(F.broadcast(sizes), "scope").withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
+    # terms that some query asks for get a number; written, as numbers must stay
+    idf = cut(idf.join(wanted, ["scope", "term"], "left").select("scope", "term", "idf", F.when(F.col("_wanted"), F.monotonically_increasing_id()).alias("number")), "idf")
+    damp = (lambda c: 1 + F.log(c)) if sublinear else (lambda c: c)
+    hot = cut(hot_keys(every, ["scope", "term"]), "hot-terms")
+    docs = salted_join(every, idf, ["scope", "term"], "doc_id", "inner", hot=hot).withColumn("_w", damp(F.col("tf")) * F.col("idf"))
+    vector = F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", F.col("_w").alias("weight"))))
+    # the norm is that of all terms, the vector has those asked for
+    docs = docs.where("doc_id is not null").groupBy("scope", "doc_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("norm"), vector.alias("_v")).where(F.size("_v") > 0)
+    asked = asked.where("query_id is not null").join(idf.where("number is not null"), ["scope", "term"]).groupBy("scope", "query_id")
+    asked = cut(asked.agg(F.collect_list(F.struct("number", (damp(F.col("qtf")) * F.col("idf")).alias("weight"))).alias("_v")), "queries")
+
+    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = F.greatest(F.ceil(F.col("n_docs") / CELL_DOCS), F.least(F.lit(2 * tasks), F.ceil(F.col("n_docs") / LEAST_DOCS))).cast("int")
+    parts = F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int")
+    grid = F.broadcast(sizes.join(asked.groupBy("scope").agg(parts.alias("parts")), "scope").select("scope", slices.alias("slices"), "parts"))
+    place = lambda ident, n: F.pmod(F.xxhash64(ident), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    split = [F.col("_v.number").alias("numbers"), F.col("_v.weight").alias("weights")]
+    docs = docs.join(grid, "scope").select("scope", place("doc_id", "slices").alias("slice"), each("parts").alias("part"), "doc_id", "norm", *split)
+    asked = asked.join(grid, "scope").select("scope", each("slices").alias("slice"), place("query_id", "parts").alias("part"), "query_id", *split)
+    cell = ["scope", "slice", "part"]
+    return top_k(docs.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(run, "query_id string, doc_id string, score double"), k, digits)
+
+
+def _sparse(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """``(row, number, weight)`` of all entries of sparse vectors in order of rows, and the number of rows."""
+    numbers, weights = (rows[c].combine_chunks() for c in ("numbers", "weights"))
+    lengths = numbers.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lengths)), lengths), numbers.flatten().to_numpy(), weights.flatten().to_numpy(), len(lengths)
+
+
+def _best_of_cell(docs: tuple, norms: np.ndarray, asked: tuple, k: int, digits: int) -> list[np.ndarray]:
+    """``[query, document, score]`` of the first ``k`` of each query by score rounded to ``digits``, then place among the documents."""
+    held, number, weight, n = docs
+    order = np.argsort(number, kind="stable")
+    held, number, weight = held[order], number[order], weight[order]
+    known, start = np.unique(number, return_index=True)
+    end = np.append(start[1:], len(number))
+    query, wanted, qweight, n_queries = asked
+    qnorms = np.sqrt(np.bincount(query, qweight * qweight, n_queries))
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    met = known[at] == wanted
+    query, at, qweight = query[met], at[met], qweight[met]
+    bounds = np.searchsorted(query, np.arange(n_queries + 1))
+    out: list[list[np.ndarray]] = [[], [], []]
+    for q in range(n_queries):
+        mine = range(bounds[q], bounds[q + 1])
+        if not mine:
+            continue
+        slices = [slice(start[at[i]], end[at[i]]) for i in mine]
+        products = np.concatenate([weight[s] * qweight[i] for s, i in zip(slices, mine)])
+        dots = np.bincount(np.concatenate([held[s] for s in slices]), products, n)
+        near = np.flatnonzero(dots)
+        scores = np.floor(dots[near] / (norms[near] * qnorms[q]) * 10.0**digits + 0.5)
+        if len(near) > k:
+            keep = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+            keep = keep[np.lexsort((keep, -scores[keep]))[:k]]
+            near, scores = near[keep], scores[keep]
+        for column, values in zip(out, (np.full(len(near), q), near, scores / 10.0**digits)):
+            column.append(values)
+    return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64))]
+
+
 def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The best ``k`` of each query as ``(query_id, rank, doc_id, score)``: by score rounded to ``digits``, then id.
 

@@ -83,7 +83,7 @@ def rank_bm25_global_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rank_tfidf_global(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(R.tfidf(_everywhere(memories(spark, sf)), _everywhere(_raw_queries(spark, sf))), 10)
+    return R.tfidf_top(_everywhere(memories(spark, sf)), _everywhere(_raw_queries(spark, sf)), 10)
 
 
 def _tfidf(spark: SparkSession, sf: str) -> DataFrame:

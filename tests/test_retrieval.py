@@ -9,6 +9,7 @@ from graphloom.functions import text as X
 from graphloom.operators import fusion as U
 from graphloom.operators import retrieval as R
 from graphloom.operators import signals as G
+from graphloom.plans import retrieval as P
 
 WORDS = "river stone lamp garden night mountain paper window train coffee".split()
 
@@ -62,6 +63,42 @@ def test_tfidf(spark):
         assert got.get(("q0", d), 0) == pytest.approx(score)
 
 
+@pytest.mark.parametrize("sublinear", [False, True])
+def test_tfidf_top_equals_the_first_of_all_scores(spark, monkeypatch, sublinear):
+    for name, value in (("CELL_DOCS", 16), ("CELL_QUERIES", 2), ("LEAST_DOCS", 8)):
+        monkeypatch.setattr(R, name, value)
+    _, _, c, q = corpus(spark, 150)
+    # equal texts tie over all cells; rows without a name count, but are not ranked
+    more = [("s0", f"é{i}", "river river stone") for i in range(9)] + [("s0", None, "river lamp"), (None, "lost", "river")]
+    c = c.select("scope", "doc_id", "text").unionByName(spark.createDataFrame(more, "scope string, doc_id string, text string"))
+    q = q.select("scope", "query_id", "text").unionByName(spark.createDataFrame([("s0", "q4", "river"), ("s1", "q5", "garden train"), ("s0", None, "lamp"), (None, "q6", "river"), ("s2", "q7", "river")], "scope string, query_id string, text string"))
+    rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in df.collect())
+    scores = R.tfidf(c, q, sublinear=sublinear).cache()
+    for k in (5, 500):
+        expected = rows(R.top_k(scores, k))
+        assert expected and rows(R.tfidf_top(c, q, k, sublinear=sublinear)) == expected
+    assert R.tfidf_top(c.limit(0), q, 5).collect() == [] and R.tfidf_top(c, q.limit(0), 5).collect() == []
+
+
+def shared_words(spark, folder, monkeypatch):
+    """600 memories of four graphs, 12 of them queries, that all share words; the list gets how many rows are ranked."""
+    at = F.timestamp_seconds(F.lit(0))
+    rows = spark.range(600).select(F.concat(F.lit("g"), F.col("id") % 4).alias("graph_id"), F.format_string("m%d", "id").alias("memory_id"), F.concat(F.lit("The river carries stone "), F.col("id") % 7).alias("text"), F.lit(1).alias("version"), at.alias("updated_at"))
+    rows.withColumnRenamed("text", "raw_text").write.parquet(f"{folder}/memory_by_id.parquet")
+    rows.write.parquet(f"{folder}/raw_erk_view.parquet")
+    ranked = []
+    top_k = R.top_k
+    monkeypatch.setattr(R, "top_k", lambda scores, *rest: ranked.append(scores.count()) or top_k(scores, *rest))
+    return ranked
+
+
+def test_global_lists_rank_few_rows_of_each_cell(spark, tmp_path, monkeypatch):
+    # not the 12 * 600 pairs that share a word
+    ranked = shared_words(spark, tmp_path, monkeypatch)
+    assert P.rank_tfidf_global(spark, str(tmp_path)).count() == 120
+    assert ranked == [120]
+
+
 def test_dense_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     vectors = np.round(rng.normal(size=(300, 8)), 1)
