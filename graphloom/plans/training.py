@@ -99,7 +99,7 @@ def _links(spark: SparkSession, sf: str) -> list[orphans.Link]:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Each reference to a memory that is missing, deleted or later: the direct orphans, from which the cascade starts."""
+    """Each reference to a memory that is missing, deleted or later: what the fixpoint reaches from the lost memories down the two foreign keys to them."""
     return orphans.find_orphans(*_references(spark, sf)).select("ref_table", "ref_key", "kind", "period").distinct()
 
 

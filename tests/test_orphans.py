@@ -22,6 +22,20 @@ def test_direct(spark):
     assert got == {("edges", "e1", "missing", "direct", 0, "2025-01"), ("edges", "e2", "deleted", "direct", 0, "2025-01"), ("edges", "e3", "late", "direct", 0, "2025-01"), ("edges", "e7", "missing", "direct", 0, None)}
 
 
+def test_the_fixpoint_starts_from_lost_parents(spark, monkeypatch):
+    joins = []
+    monkeypatch.setattr(orphans, "salted_join", lambda rows, few, key, salt_by, *how: joins.append(few) or salted_join(rows, few, key, salt_by, *how))
+    refs, parents = setup(spark)
+    refs = refs.unionByName(spark.createDataFrame([("e8", "fine", T3, ""), ("e9", "untimed", T1, "")], REF))
+    parents = parents.unionByName(spark.createDataFrame([("fine", T1, None), ("untimed", None, None), ("unasked", T1, T2)], parents.schema))
+    views = spark.createDataFrame([("v1", "fine", T3, ""), ("v2", "new", T3, "")], REF)
+    unlinked = Link("notes", "elsewhere", spark.createDataFrame([("n1", "e1", T2)], "ref_key string, parent_ref_key string, at timestamp"))
+    got = {tuple(r)[:3] for r in find_orphans([References("edges", refs), References("views", views)], parents, [unlinked]).collect()}
+    assert got == {("edges", "e1", "missing"), ("edges", "e2", "deleted"), ("edges", "e3", "late"), ("edges", "e7", "missing")}
+    # neither parents that lose no reference nor links that nothing reaches are joined
+    assert [{(r.parent_key, r.kind) for r in few.collect()} for few in joins] == [{("gone", "missing"), ("dead", "deleted"), ("new", "late")}] * 2
+
+
 def test_cascade_ends_in_cycles(spark):
     refs, parents = setup(spark)
     copies = spark.createDataFrame([("c1", "e1", T2), ("c1", "e1", T2), ("c2", "e4", T2), ("c3", None, T2)], "ref_key string, parent_ref_key string, at timestamp").withColumn("kind", F.lit("x"))
