@@ -50,9 +50,14 @@ def terms(text: Column) -> Column:
     """Words of at least two letters or digits without stopwords, then pairs of neighbours among them."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
     words = F.filter(words, lambda t: ~t.isin(*STOPWORDS))
-    n = F.size(words)
-    pairs = F.when(n > 1, F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast(_NO_STRINGS))
-    return F.concat(words, pairs)
+
+    def with_pairs(w: Column) -> Column:
+        n = F.size(w)
+        pairs = F.when(n > 1, F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast(_NO_STRINGS))
+        return F.concat(w, pairs)
+
+    # within a list of one, so that the words are found once, not at each use
+    return F.transform(F.array(words), with_pairs)[0]
 
 
 def is_entity_like(token: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,7 +95,11 @@ def tfidf(corpus: DataFrame, queries: DataFrame, terms: Terms = X.terms, subline
 #: A cell of the grid holds about so many documents and queries at most.
 CELL_DOCS, CELL_QUERIES = 65536, 4096
 #: With fewer documents, slices are made for all tasks, but of no fewer than this.
-LEAST_DOCS = 2048
+LEAST_DOCS = 16384
+#: Up to so many terms go to the tasks (about 30 MB); postings are joined to more.
+BROADCAST_TERMS = 1_000_000
+#: Documents are worked through in lots of about so many terms.
+LOT = 1_000_000
 
 
 def tfidf_top(corpus: DataFrame, queries: DataFrame, k: int, terms: Terms = X.terms, sublinear: bool = False, digits: int = 6) -> DataFrame:
@@ -102,83 +107,208 @@ def tfidf_top(corpus: DataFrame, queries: DataFrame, k: int, terms: Terms = X.te
 
     For scopes so large that the pairs of queries and documents that share a
     term are too many to be rows. Sparse vectors meet in a grid of slices of
-    documents and parts of queries; a cell scores its pairs in arrays and sends
-    the best ``k`` of each query on, so what is shuffled follows the number of
-    cells, not of pairs. Cells are bounded, whatever the size of a scope.
+    documents and parts of queries; a cell scores in arrays the documents that
+    can be among the best and sends the best ``k`` of each query on, so what is
+    shuffled follows the number of cells, not of pairs. Cells are bounded,
+    whatever the size of a scope.
+
+    ``corpus`` has one row for each document. A term that one document has and
+    no query asks for only adds to that document's norm, so the vocabulary
+    leaves it out.
     """
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if docs.num_rows and asked.num_rows:
             docs = docs.sort_by("doc_id")  # by bytes, as Spark does
-            found = _best_of_cell(_sparse(docs), docs["norm"].to_numpy(), _sparse(asked), k, digits)
+            found = _best_of_cell(_sparse(docs, "counts"), docs["norm"].to_numpy(), _sparse(asked, "weights", "idfs"), k, digits, sublinear)
         return pa.table({"query_id": asked["query_id"].take(pa.array(found[0])), "doc_id": docs["doc_id"].take(pa.array(found[1])), "score": found[2]})
 
-    every = cut(postings(corpus, terms), "postings")
-    asked = query_terms(queries, terms)
-    sizes = cut(corpus.groupBy("scope").agg(F.count(F.lit(1)).alias("n_docs")), "sizes")
-    wanted = asked.select("scope", "term").distinct().withColumn("_wanted", F.lit(True))
-    frequency = every.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = frequency.join(F.broadcast(sizes), "scope").withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
+    # both are written, as they are counted and then weighed: tokenising twice costs more
+    texts = cut(corpus.where("scope is not null").select("scope", "doc_id", terms(F.col("text")).alias("terms")), "terms")
+    asked = cut(query_terms(queries, terms), "asked")
+    sizes = cut(texts.groupBy("scope").agg(F.count(F.lit(1)).alias("n_docs")), "sizes")
+    idf = lambda df: F.log((1 + F.col("n_docs")) / (1 + df)) + 1
+    seen = texts.select("scope", F.explode(F.array_distinct("terms")).alias("term"), F.lit(1).alias("_d"), F.lit(0).alias("_q")).where("term is not null")
+    seen = seen.unionByName(asked.select("scope", "term", F.lit(0).alias("_d"), F.lit(1).alias("_q"))).groupBy("scope", "term").agg(F.sum("_d").alias("df"), F.max("_q").alias("_q"))
+    seen = seen.where("df > 1 or df = 1 and _q = 1").join(F.broadcast(sizes), "scope")
     # terms that some query asks for get a number; written, as numbers must stay
-    idf = cut(idf.join(wanted, ["scope", "term"], "left").select("scope", "term", "idf", F.when(F.col("_wanted"), F.monotonically_increasing_id()).alias("number")), "idf")
+    known = cut(seen.select("scope", "term", idf(F.col("df")).alias("idf"), F.when(F.col("_q") == 1, F.monotonically_increasing_id()).alias("number")), "idf")
     damp = (lambda c: 1 + F.log(c)) if sublinear else (lambda c: c)
-    hot = cut(hot_keys(every, ["scope", "term"]), "hot-terms")
-    docs = salted_join(every, idf, ["scope", "term"], "doc_id", "inner", hot=hot).withColumn("_w", damp(F.col("tf")) * F.col("idf"))
-    vector = F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", F.col("_w").alias("weight"))))
-    # the norm is that of all terms, the vector has those asked for
-    docs = docs.where("doc_id is not null").groupBy("scope", "doc_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("norm"), vector.alias("_v")).where(F.size("_v") > 0)
-    asked = asked.where("query_id is not null").join(idf.where("number is not null"), ["scope", "term"]).groupBy("scope", "query_id")
-    asked = cut(asked.agg(F.collect_list(F.struct("number", (damp(F.col("qtf")) * F.col("idf")).alias("weight"))).alias("_v")), "queries")
+    if known.count() <= BROADCAST_TERMS:
+        docs = _vectors_by_lookup(texts, known, sizes.withColumn("idf", idf(F.lit(1))), sublinear)
+    else:
+        # the norm is that of all terms, the vector has those asked for
+        every = cut(texts.select("scope", "doc_id", F.explode("terms").alias("term")).where("term is not null").groupBy("scope", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+        hot = cut(hot_keys(every, ["scope", "term"]), "hot-terms")
+        met = salted_join(every, known, ["scope", "term"], "doc_id", hot=hot).join(F.broadcast(sizes), "scope")
+        met = met.where("doc_id is not null").withColumn("_w", damp(F.col("tf")) * F.coalesce("idf", idf(F.lit(1))))
+        met = met.groupBy("scope", "doc_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("norm"), F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "tf"))).alias("_v"))
+        docs = met.where(F.size("_v") > 0).select("scope", "doc_id", "norm", F.col("_v.number").alias("numbers"), F.col("_v.tf").alias("counts"))
+    asked = asked.where("query_id is not null").join(known.where("number is not null"), ["scope", "term"]).groupBy("scope", "query_id")
+    asked = cut(asked.agg(F.collect_list(F.struct("number", (damp(F.col("qtf")) * F.col("idf")).alias("weight"), "idf")).alias("_v")), "queries")
 
     tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = F.greatest(F.ceil(F.col("n_docs") / CELL_DOCS), F.least(F.lit(2 * tasks), F.ceil(F.col("n_docs") / LEAST_DOCS))).cast("int")
-    parts = F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int")
-    grid = F.broadcast(sizes.join(asked.groupBy("scope").agg(parts.alias("parts")), "scope").select("scope", slices.alias("slices"), "parts"))
+    grid = sizes.join(asked.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("parts")), "scope")
+    slices = F.greatest(F.ceil(F.col("n_docs") / CELL_DOCS), F.least(F.ceil(2 * tasks / F.col("parts")), F.ceil(F.col("n_docs") / LEAST_DOCS))).cast("int")
+    grid = F.broadcast(grid.select("scope", slices.alias("slices"), "parts"))
     place = lambda ident, n: F.pmod(F.xxhash64(ident), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    split = [F.col("_v.number").alias("numbers"), F.col("_v.weight").alias("weights")]
-    docs = docs.join(grid, "scope").select("scope", place("doc_id", "slices").alias("slice"), each("parts").alias("part"), "doc_id", "norm", *split)
-    asked = asked.join(grid, "scope").select("scope", each("slices").alias("slice"), place("query_id", "parts").alias("part"), "query_id", *split)
+    docs = docs.join(grid, "scope").select("scope", place("doc_id", "slices").alias("slice"), each("parts").alias("part"), "doc_id", "norm", "numbers", "counts")
+    vector = [F.col("_v.number").alias("numbers"), F.col("_v.weight").alias("weights"), F.col("_v.idf").alias("idfs")]
+    asked = asked.join(grid, "scope").select("scope", each("slices").alias("slice"), place("query_id", "parts").alias("part"), "query_id", *vector)
     cell = ["scope", "slice", "part"]
     return top_k(docs.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(run, "query_id string, doc_id string, score double"), k, digits)
 
 
-def _sparse(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """``(row, number, weight)`` of all entries of sparse vectors in order of rows, and the number of rows."""
-    numbers, weights = (rows[c].combine_chunks() for c in ("numbers", "weights"))
+def _vectors_by_lookup(texts: DataFrame, known: DataFrame, rare: DataFrame, sublinear: bool) -> DataFrame:
+    """``(scope, doc_id, norm, numbers, counts)`` of documents with a term that is asked for.
+
+    The terms of ``known(scope, term, idf, number)`` go to all tasks; any other
+    has the idf that ``rare`` gives for its scope.
+    """
+    context = texts.sparkSession.sparkContext
+    rare, known = rare.select("scope", "idf").toArrow(), known.toArrow()
+    scopes = rare["scope"].combine_chunks()
+    number = known["number"].fill_null(-1).to_numpy()
+    vocabulary = context.broadcast((scopes, rare["idf"].to_numpy(), _keys(known["scope"], known["term"], scopes), known["idf"].to_numpy(), number))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot: list[pa.RecordBatch] = []
+        for batch in batches:
+            lot.append(batch)
+            if sum(len(b.column(2).flatten()) for b in lot) >= LOT:
+                yield from _weigh(pa.Table.from_batches(lot), *vocabulary.value, sublinear).to_batches()
+                lot = []
+        if lot:
+            yield from _weigh(pa.Table.from_batches(lot), *vocabulary.value, sublinear).to_batches()
+
+    return texts.where("doc_id is not null").mapInArrow(run, "scope string, doc_id string, norm double, numbers array<long>, counts array<long>")
+
+
+def _keys(scope: pa.ChunkedArray, term: pa.ChunkedArray, scopes: pa.Array) -> pa.Array:
+    """Scopes by number and terms as one text."""
+    number = pc.index_in(scope, value_set=scopes).cast(pa.string())
+    keys = pc.binary_join_element_wise(number, term, "\0")
+    return keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+
+
+def _weigh(texts: pa.Table, scopes: pa.Array, rare: np.ndarray, keys: pa.Array, idf: np.ndarray, number: np.ndarray, sublinear: bool) -> pa.Table:
+    """The vectors of a lot of texts, see :func:`_vectors_by_lookup`."""
+    lists = texts["terms"].combine_chunks()
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row, term = np.repeat(np.arange(len(lengths)), lengths), lists.flatten()
+    if term.null_count:
+        row, term = row[term.is_valid().to_numpy(zero_copy_only=False)], term.drop_null()
+    coded = _keys(texts["scope"].combine_chunks().take(pa.array(row)), term, scopes).dictionary_encode()
+    words = coded.dictionary
+    pair, tf = np.unique(row * max(1, len(words)) + coded.indices.to_numpy(), return_counts=True)
+    row, code = np.divmod(pair, max(1, len(words)))
+    at = pc.index_in(words, value_set=keys).fill_null(-1).to_numpy()[code]
+    usual = rare[pc.index_in(texts["scope"], value_set=scopes).to_numpy()]
+    weight = np.where(at >= 0, np.append(idf, 0.0)[at], usual[row]) * (1 + np.log(tf) if sublinear else tf)
+    norm = np.sqrt(np.bincount(row, weight * weight, len(lengths)))
+    number = np.append(number, -1)[at]
+    wanted = number >= 0
+    row, number, tf = row[wanted], number[wanted], tf[wanted]
+    count = np.bincount(row, minlength=len(lengths))
+    some = np.flatnonzero(count)
+    ends = pa.array(np.append(0, np.cumsum(count[some])).astype(np.int32))
+    kept = texts.select(["scope", "doc_id"]).take(pa.array(some))
+    return pa.table({"scope": kept["scope"], "doc_id": kept["doc_id"], "norm": norm[some], "numbers": pa.ListArray.from_arrays(ends, pa.array(number, pa.int64())), "counts": pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))})
+
+
+def _sparse(rows: pa.Table, *values: str) -> tuple:
+    """``(row, number, *values)`` of all entries of sparse vectors in order of rows, and the number of rows."""
+    numbers = rows["numbers"].combine_chunks()
     lengths = numbers.value_lengths().to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(lengths)), lengths), numbers.flatten().to_numpy(), weights.flatten().to_numpy(), len(lengths)
-
-
-def _best_of_cell(docs: tuple, norms: np.ndarray, asked: tuple, k: int, digits: int) -> list[np.ndarray]:
-    """``[query, document, score]`` of the first ``k`` of each query by score rounded to ``digits``, then place among the documents."""
-    held, number, weight, n = docs
-    order = np.argsort(number, kind="stable")
-    held, number, weight = held[order], number[order], weight[order]
-    known, start = np.unique(number, return_index=True)
-    end = np.append(start[1:], len(number))
-    query, wanted, qweight, n_queries = asked
-    qnorms = np.sqrt(np.bincount(query, qweight * qweight, n_queries))
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    met = known[at] == wanted
-    query, at, qweight = query[met], at[met], qweight[met]
+    return np.repeat(np.arange(len(lengths)), lengths), *(rows[c].combine_chunks().flatten().to_numpy() for c in ("numbers", *values)), len(lengths)
+
+
+#: Slack of the bounds by which documents are left out, far above any error of their sums; the last digit of scores comes on top.
+_SLACK = 1e-9
+
+
+def _best_of_cell(docs: tuple, norms: np.ndarray, asked: tuple, k: int, digits: int, sublinear: bool) -> list[np.ndarray]:
+    """``[query, document, score]`` of the first ``k`` of each query by score rounded to ``digits``, then place among the documents.
+
+    A query's terms are taken from the rarest on. What those not yet taken can
+    add to a score is bounded; once that is less than the ``k``-th best has
+    already, no other document can get there, and only those that still can
+    are scored by their other terms too.
+    """
+    query, wanted, qweight, idf, n_queries = asked
+    held, number, tf, n = docs
+    # terms of the cell, with the postings of each
+    known, first = np.unique(wanted, return_index=True)
+    idf = idf[first]
+    at = np.minimum(np.searchsorted(known, number), len(known) - 1)
+    met = known[at] == number
+    held, at, tf = held[met], at[met], tf[met]
+    weight = (1 + np.log(tf) if sublinear else tf) * idf[at] / norms[held]
+    # entries in order of documents, to complete some of them
+    rows = np.searchsorted(held, np.arange(n + 1))
+    row_term, row_weight = at, weight
+    order = np.argsort(at, kind="stable")
+    held, weight = held[order], weight[order]
+    start = np.searchsorted(at[order], np.arange(len(known) + 1))
+    size = np.diff(start)
+    most = np.zeros(len(known))
+    some = np.flatnonzero(size)
+    if len(some):
+        most[some] = np.maximum.reduceat(weight, start[some])
+
+    qweight = qweight / np.sqrt(np.bincount(query, qweight * qweight, n_queries))[query]
+    term = np.searchsorted(known, wanted)
+    query, term, qweight = (x[size[term] > 0] for x in (query, term, qweight))
+    order = np.lexsort((size[term], query))
+    query, term, qweight = query[order], term[order], qweight[order]
     bounds = np.searchsorted(query, np.arange(n_queries + 1))
+    slack = _SLACK + 10.0**-digits
+    few = max(k, n // 512)
+    slot, by_term = np.zeros(n, np.int64), np.zeros(len(known))
+
+    def partial(terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that have any of the terms, and their sums."""
+        where = [slice(start[t], start[t + 1]) for t in terms]
+        near = np.concatenate([held[s] for s in where])
+        products = np.concatenate([weight[s] * w for s, w in zip(where, weights)])
+        entry = np.arange(len(near))
+        slot[near] = entry
+        mine = slot[near]  # one entry stands for all of its document
+        once = mine == entry
+        return near[once], np.bincount(mine, products, len(near))[once]
+
     out: list[list[np.ndarray]] = [[], [], []]
     for q in range(n_queries):
-        mine = range(bounds[q], bounds[q + 1])
-        if not mine:
+        lo, hi = bounds[q], bounds[q + 1]
+        if lo == hi:
             continue
-        slices = [slice(start[at[i]], end[at[i]]) for i in mine]
-        products = np.concatenate([weight[s] * qweight[i] for s, i in zip(slices, mine)])
-        dots = np.bincount(np.concatenate([held[s] for s in slices]), products, n)
-        near = np.flatnonzero(dots)
-        scores = np.floor(dots[near] / (norms[near] * qnorms[q]) * 10.0**digits + 0.5)
+        mine, weights = term[lo:hi], qweight[lo:hi]
+        # what the terms from each place on can add at most
+        rest = np.append(np.cumsum((weights * most[mine])[::-1])[::-1], 0.0)
+        taken = max(1, int(np.searchsorted(np.cumsum(size[mine]), few, "right")))
+        while True:
+            near, sums = partial(mine[:taken], weights[:taken])
+            least = np.partition(sums, -k)[-k] - slack if len(sums) >= k else 0.0
+            more = int(np.argmax(rest < least)) if rest[-1] < least else hi - lo
+            if more <= taken:
+                break
+            taken = more
+        if taken < hi - lo:
+            near = near[sums >= least - rest[taken]]
+            by_term[mine] = weights
+            begin, length = rows[near], rows[near + 1] - rows[near]
+            ends = np.cumsum(length)
+            entry = np.arange(ends[-1]) + np.repeat(begin - (ends - length), length)
+            sums = np.add.reduceat(by_term[row_term[entry]] * row_weight[entry], ends - length)
+            by_term[mine] = 0.0
+        scores = np.floor(sums * 10.0**digits + 0.5)
+        keep = np.arange(len(near))
         if len(near) > k:
             keep = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-            keep = keep[np.lexsort((keep, -scores[keep]))[:k]]
-            near, scores = near[keep], scores[keep]
-        for column, values in zip(out, (np.full(len(near), q), near, scores / 10.0**digits)):
+        keep = keep[np.lexsort((near[keep], -scores[keep]))[:k]]
+        for column, values in zip(out, (np.full(len(keep), q), near[keep], scores[keep] / 10.0**digits)):
             column.append(values)
     return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64))]
 

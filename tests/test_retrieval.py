@@ -78,6 +78,55 @@ def test_tfidf_top_equals_the_first_of_all_scores(spark, monkeypatch):
     assert R.tfidf_top(c.limit(0), q, 5).collect() == [] and R.tfidf_top(c, q.limit(0), 5).collect() == []
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_tfidf_top_joins_postings_to_very_many_terms_only(spark, monkeypatch, limit):
+    monkeypatch.setattr(R, "BROADCAST_TERMS", limit)
+    monkeypatch.setattr(R, "LOT", 50)
+    joined = []
+    salted_join = R.salted_join
+    monkeypatch.setattr(R, "salted_join", lambda *rest, **named: joined.append(1) or salted_join(*rest, **named))
+    _, _, c, q = corpus(spark)
+    # terms of one document, repeated there, asked for or not; scopes whose terms must not mix
+    more = [("s0", "own", "river zebra zebra zebra yak"), ("s1", "own", "river yak"), ("s1", "none", "yak"), ("s0", None, "zebra"), ("0", "x", "0 river")]
+    c = c.select("scope", "doc_id", "text").unionByName(spark.createDataFrame(more, "scope string, doc_id string, text string"))
+    q = q.select("scope", "query_id", "text").unionByName(spark.createDataFrame([("s0", "q4", "yak river"), ("s1", "q5", "zebra night"), ("0", "q6", "river")], "scope string, query_id string, text string"))
+    rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in df.collect())
+    for sublinear in (False, True):
+        found = R.tfidf_top(c, q, 4, sublinear=sublinear)
+        assert len(joined) == (limit == 0)
+        assert rows(found) == rows(R.top_k(R.tfidf(c, q, sublinear=sublinear), 4))
+        joined.clear()
+
+
+def test_cells_leave_common_terms_out_but_no_document(monkeypatch):
+    rng = np.random.default_rng(8)
+    n, n_queries, vocabulary = 3000, 40, 400
+    zipf = 1 / np.arange(1, vocabulary + 1)
+    draw = lambda m: np.unique(rng.choice(vocabulary, m, p=zipf / zipf.sum()), return_counts=True)
+    docs, queries = ([draw(rng.integers(1, 12)) for _ in range(m)] for m in (n, n_queries))
+    docs[7:12] = [docs[7]] * 5  # ties
+    df = np.bincount(np.concatenate([d for d, _ in docs]), minlength=vocabulary)
+    idf = np.log((1 + n) / (1 + df)) + 1
+    flat = lambda rows: (np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]), np.concatenate([t for t, _ in rows]), np.concatenate([c for _, c in rows]))
+    dense = lambda rows: np.array([np.bincount(t, c, vocabulary) for t, c in rows]) * idf
+    norms = np.linalg.norm(dense(docs), axis=1)
+    query, number, tf = flat(queries)
+    gone_through = []
+    bincount = np.bincount
+    monkeypatch.setattr(R.np, "bincount", lambda x, *rest: gone_through.append(len(x)) or bincount(x, *rest))
+    got = list(zip(*R._best_of_cell((*flat(docs), n), norms, (query, number, tf * idf[number], idf[number], n_queries), 10, 6, False)))
+    monkeypatch.undo()
+    scores = np.floor(dense(queries) @ dense(docs).T / norms / np.linalg.norm(dense(queries), axis=1)[:, None] * 1e6 + 0.5) / 1e6
+    expected = [(i, d, scores[i, d]) for i in range(n_queries) for d in np.lexsort((np.arange(n), -scores[i]))[:10] if scores[i, d] > 0]
+    assert [g[:2] for g in got] == [e[:2] for e in expected] and np.allclose([g[2] for g in got], [e[2] for e in expected])
+    assert sum(gone_through) < df[number].sum() * 0.8
+
+
+def test_terms_find_words_once(spark):
+    plan = spark.createDataFrame([("a b",)], "text string").select(X.terms(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def shared_words(spark, folder, monkeypatch):
     """600 memories of four graphs, 12 of them queries, that all share words; the list gets how many rows are ranked."""
     at = F.timestamp_seconds(F.lit(0))
