@@ -95,7 +95,7 @@ def tfidf(corpus: DataFrame, queries: DataFrame, terms: Terms = X.terms, subline
 #: A cell of the grid holds about so many documents and queries at most.
 CELL_DOCS, CELL_QUERIES = 65536, 4096
 #: With fewer documents, slices are made for all tasks, but of no fewer than this.
-LEAST_DOCS = 16384
+LEAST_DOCS = 32768
 #: Up to so many terms go to the tasks (about 30 MB); postings are joined to more.
 BROADCAST_TERMS = 1_000_000
 #: Documents are worked through in lots of about so many terms.
@@ -171,7 +171,7 @@ def _vectors_by_lookup(texts: DataFrame, known: DataFrame, rare: DataFrame, subl
     rare, known = rare.select("scope", "idf").toArrow(), known.toArrow()
     scopes = rare["scope"].combine_chunks()
     number = known["number"].fill_null(-1).to_numpy()
-    vocabulary = context.broadcast((scopes, rare["idf"].to_numpy(), _keys(known["scope"], known["term"], scopes), known["idf"].to_numpy(), number))
+    vocabulary = context.broadcast((scopes, rare["idf"].to_numpy(), _keys(pc.index_in(known["scope"], value_set=scopes), known["term"]), known["idf"].to_numpy(), number))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot: list[pa.RecordBatch] = []
@@ -186,10 +186,9 @@ def _vectors_by_lookup(texts: DataFrame, known: DataFrame, rare: DataFrame, subl
     return texts.where("doc_id is not null").mapInArrow(run, "scope string, doc_id string, norm double, numbers array<long>, counts array<long>")
 
 
-def _keys(scope: pa.ChunkedArray, term: pa.ChunkedArray, scopes: pa.Array) -> pa.Array:
-    """Scopes by number and terms as one text."""
-    number = pc.index_in(scope, value_set=scopes).cast(pa.string())
-    keys = pc.binary_join_element_wise(number, term, "\0")
+def _keys(scope: pa.Array | pa.ChunkedArray, term: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """Scopes, given by number, and terms as one text."""
+    keys = pc.binary_join_element_wise(scope.cast(pa.string()), term, "\0")
     return keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
 
 
@@ -200,13 +199,15 @@ def _weigh(texts: pa.Table, scopes: pa.Array, rare: np.ndarray, keys: pa.Array,
     row, term = np.repeat(np.arange(len(lengths)), lengths), lists.flatten()
     if term.null_count:
         row, term = row[term.is_valid().to_numpy(zero_copy_only=False)], term.drop_null()
-    coded = _keys(texts["scope"].combine_chunks().take(pa.array(row)), term, scopes).dictionary_encode()
-    words = coded.dictionary
-    pair, tf = np.unique(row * max(1, len(words)) + coded.indices.to_numpy(), return_counts=True)
-    row, code = np.divmod(pair, max(1, len(words)))
-    at = pc.index_in(words, value_set=keys).fill_null(-1).to_numpy()[code]
-    usual = rare[pc.index_in(texts["scope"], value_set=scopes).to_numpy()]
-    weight = np.where(at >= 0, np.append(idf, 0.0)[at], usual[row]) * (1 + np.log(tf) if sublinear else tf)
+    coded, scope = term.dictionary_encode(), pc.index_in(texts["scope"], value_set=scopes).to_numpy().astype(np.int64)
+    words = max(1, len(coded.dictionary))
+    pair, tf = np.unique(row * words + coded.indices.to_numpy(), return_counts=True)
+    row, code = np.divmod(pair, words)
+    # each term of each scope is looked up once
+    pair, at = np.unique(scope[row] * words + code, return_inverse=True)
+    of, code = np.divmod(pair, words)
+    at = pc.index_in(_keys(pa.array(of), coded.dictionary.take(pa.array(code))), value_set=keys).fill_null(-1).to_numpy()[at]
+    weight = np.where(at >= 0, np.append(idf, 0.0)[at], rare[scope[row]]) * (1 + np.log(tf) if sublinear else tf)
     norm = np.sqrt(np.bincount(row, weight * weight, len(lengths)))
     number = np.append(number, -1)[at]
     wanted = number >= 0
