@@ -96,7 +96,7 @@ def tfidf(corpus: DataFrame, queries: DataFrame, terms: Terms = X.terms, subline
 CELL_DOCS, CELL_QUERIES = 65536, 4096
 #: With fewer documents, slices are made for all tasks, but of no fewer than this.
 LEAST_DOCS = 32768
-#: Up to so many terms go to the tasks (about 30 MB); postings are joined to more.
+#: Up to so many terms go to the tasks (about 40 MB; each 64 bytes of a long one count as a term); postings are joined to more.
 BROADCAST_TERMS = 1_000_000
 #: Documents are worked through in lots of about so many terms.
 LOT = 1_000_000
@@ -135,7 +135,7 @@ def tfidf_top(corpus: DataFrame, queries: DataFrame, k: int, terms: Terms = X.te
     # terms that some query asks for get a number; written, as numbers must stay
     known = cut(seen.select("scope", "term", idf(F.col("df")).alias("idf"), F.when(F.col("_q") == 1, F.monotonically_increasing_id()).alias("number")), "idf")
     damp = (lambda c: 1 + F.log(c)) if sublinear else (lambda c: c)
-    if known.count() <= BROADCAST_TERMS:
+    if (known.agg(F.sum(1 + F.floor(F.octet_length("term") / 64))).first()[0] or 0) <= BROADCAST_TERMS:
         docs = _vectors_by_lookup(texts, known, sizes.withColumn("idf", idf(F.lit(1))), sublinear)
     else:
         # the norm is that of all terms, the vector has those asked for
